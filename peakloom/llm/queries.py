@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontaminate, merkle, simhash
 from .common import table
 
 
@@ -12,5 +12,14 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash_dedup": op1_simhash_dedup}
-ORACLES: dict[str, str] = {}
+def op3_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op3_merkle_fingerprint, op4_benchmark_decontamination)}
+#: Absent: op1 (XXH64 and links of links aren't SQL's).
+ORACLES: dict[str, str] = {"op3_merkle_fingerprint": merkle.SQL, "op4_benchmark_decontamination": decontaminate.SQL}
