@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, merkle, simhash
+from . import decontaminate, merkle, mixing, simhash, warc
 from .common import table
 
 
@@ -20,6 +20,18 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op3_merkle_fingerprint, op4_benchmark_decontamination)}
-#: Absent: op1 (XXH64 and links of links aren't SQL's).
-ORACLES: dict[str, str] = {"op3_merkle_fingerprint": merkle.SQL, "op4_benchmark_decontamination": decontaminate.SQL}
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op3_merkle_fingerprint, op4_benchmark_decontamination, op6_warc_archive, op7_source_mixing)}
+#: Absent: op1 (XXH64 and links of links aren't SQL's), op7 (a balanced sample is one of many).
+ORACLES: dict[str, str] = {
+    "op3_merkle_fingerprint": merkle.SQL,
+    "op4_benchmark_decontamination": decontaminate.SQL,
+    "op6_warc_archive": warc.SQL,
+}
