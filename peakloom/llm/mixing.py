@@ -4,8 +4,9 @@ A document's rate is its source's target over its source's size, from 0 to 2.  I
 fraction is the inclusion probability of one more copy.  The cube method moves the fractions of a block of documents
 through the null space of two constraints (the copies' words and the number of copies), so that both totals stay as they
 are, until at most two documents of the block stay fractional.  Those go on to the next round's blocks of the same source,
-a few hundred times fewer each round, until each source has one last block; its landing problem (two documents at most)
-is settled by the choice nearest to the target.  A block has a bounded number of rows whatever its source's size.
+a few hundred times fewer each round, until each source has one last block.  Its flight leaves out the ``RESERVE`` largest
+documents, so that the landing problem (14 documents at most) has choices of every size; all of them are tried and the
+nearest to the target is taken.  A block has a bounded number of rows whatever its source's size.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 #: Documents that a block holds on average.
 BLOCK_ROWS = 1000
+#: The largest documents of a source's last block, which the flight leaves to the landing problem.
+RESERVE = 12
 SEED = 11
 _CLOSE = 1e-9
 
@@ -78,21 +81,22 @@ def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.nda
 
 
 def land(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Each fraction to 0 or 1, the words nearest to what they are; ties: the fewest copies."""
+    """Each fraction to 0 or 1: of all choices the one whose words, then whose number of copies, are nearest to what they are."""
     loose = np.flatnonzero((p > 0) & (p < 1))
     choices = (np.arange(1 << len(loose))[:, None] >> np.arange(len(loose))) & 1
-    off = np.abs(choices @ sizes[loose] - p[loose] @ sizes[loose])
-    best = min(range(len(choices)), key=lambda k: (off[k], choices[k].sum(), k))
+    words = np.round(np.abs(choices @ sizes[loose] - p[loose] @ sizes[loose]), 6)
     p = p.copy()
-    p[loose] = choices[best]
+    p[loose] = choices[np.lexsort((np.abs(choices.sum(axis=1) - p[loose].sum()), words))[0]]
     return p
 
 
 def _block(last: bool):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["name", "doc_id", "size", "twin"], na_position="first", kind="stable")
-        sizes = frame["size"].to_numpy(np.float64)
-        p = flight(frame["p"].to_numpy(np.float64), sizes, np.random.default_rng([SEED, int(frame["name"].iloc[0]) & 0xFFFFFFFF, len(frame)]))
+        frame = frame.sort_values(["name", "doc_id", "size"], na_position="first", kind="stable").drop(columns="block")
+        sizes, p = frame["size"].to_numpy(np.float64), frame["p"].to_numpy(np.float64).copy()
+        flying = np.argsort(-sizes, kind="stable")[RESERVE:] if last else np.arange(len(p))
+        flying.sort()
+        p[flying] = flight(p[flying], sizes[flying], np.random.default_rng([SEED, int(frame["name"].iloc[0]) & 0xFFFFFFFF, len(frame)]))
         return frame.assign(p=land(p, sizes) if last else p)
 
     return run
@@ -101,14 +105,13 @@ def _block(last: bool):
 def copies(sizes: DataFrame) -> DataFrame:
     """(doc_id, source, size) rows -> the same rows with source_size, target and copies (0, 1 or 2).
 
-    Rows that repeat an id and a size are told apart by a number among them only where they land in a block, so reruns
-    agree as multisets.  Documents without words are never copied for their fraction.  An empty table stays empty."""
+    Rows that repeat an id and a size are interchangeable, so reruns agree as multisets.  Documents without words are never copied for their fraction.  An empty table stays empty."""
     rated = sizes.join(targets(sizes).withColumnRenamed("source", "name_of"), F.col("source").eqNullSafe(F.col("name_of"))).drop("name_of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     sure = F.floor(rate + _CLOSE)
     part = F.when((F.col("size") > 0) & (rate - sure > _CLOSE), rate - sure).otherwise(F.lit(0.0))
     rows = checkpoint(
-        rated.withColumn("sure", sure.cast("long")).withColumn("p", part).withColumn("name", F.xxhash64(F.lit(SEED), "doc_id", "size")).withColumn("twin", F.lit(0).cast("long"))
+        rated.withColumn("sure", sure.cast("long")).withColumn("p", part).withColumn("name", F.xxhash64(F.lit(SEED), "doc_id", "size"))
     )
     schema, done, loose = rows.schema, rows.where("p = 0"), rows.where("p > 0")
     while True:
@@ -119,7 +122,7 @@ def copies(sizes: DataFrame) -> DataFrame:
         dealt = loose.join(count.withColumnRenamed("source", "name_of"), F.col("source").eqNullSafe(F.col("name_of"))).drop("name_of")
         block = F.pmod(F.xxhash64(F.lit(SEED), "name"), F.col("blocks"))
         dealt = dealt.withColumn("block", block).drop("blocks")
-        moved = checkpoint(dealt.groupBy("source", "block").applyInPandas(_without_block(_block(most == 1)), schema))
+        moved = checkpoint(dealt.groupBy("source", "block").applyInPandas(_block(most == 1), schema))
         done = done.unionByName(moved.where("p = 0 OR p = 1"))
         loose = moved.where("p > 0 AND p < 1")
         if most == 1:
@@ -127,13 +130,6 @@ def copies(sizes: DataFrame) -> DataFrame:
     return done.select("doc_id", "source", "size", "source_size", "target", (F.col("sure") + F.col("p").cast("long")).alias("copies"))
 
 
-def _without_block(step):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return step(frame).drop(columns="block")
-
-    return run
-
-
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row; taken counts the words of all copies."""
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size().alias("size"))
