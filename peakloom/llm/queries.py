@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, merkle, mixing, simhash, warc
+from . import decontaminate, merkle, mixing, simhash, substring, warc
 from .common import table
 
 
@@ -28,10 +28,15 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op3_merkle_fingerprint, op4_benchmark_decontamination, op6_warc_archive, op7_source_mixing)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op3_merkle_fingerprint, op4_benchmark_decontamination, op6_warc_archive, op7_source_mixing, op8_substring_dedup)}
 #: Absent: op1 (XXH64 and links of links aren't SQL's), op7 (a balanced sample is one of many).
 ORACLES: dict[str, str] = {
     "op3_merkle_fingerprint": merkle.SQL,
     "op4_benchmark_decontamination": decontaminate.SQL,
     "op6_warc_archive": warc.SQL,
+    "op8_substring_dedup": substring.SQL,
 }
