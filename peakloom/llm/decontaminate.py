@@ -12,6 +12,7 @@ the same rows in the same stage, so no broadcast is larger than a block whatever
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -196,19 +197,18 @@ def _pass(windows) -> object:
             for k in range(len(documents)):
                 turn = np.flatnonzero(np.diff(np.concatenate([[0], covered[bounds[k] : bounds[k + 1]].astype(np.int8), [0]])))
                 spans.append([{"start": a, "end": b} for a, b in turn.reshape(-1, 2).tolist()])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": part.column(0), "text": part.column(1), "n_words": pa.array(np.diff(bounds), pa.int64()),
-                    "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                }
-            )
+            found = [
+                pa.array(np.diff(bounds), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+            ]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], *found, *part.columns[5:]], part.schema.names)
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, text binary, n_words, spans, items) for every row: hit word spans [start, end) and the items found.
+def leaks(docs: DataFrame, benchmark: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, text binary, n_words, spans, items) for every row: hit word spans [start, end) and the items found,
+    with the columns ``more`` of ``docs`` beside them.
 
     A window is 8 consecutive words of an item; an item of fewer words, but not none, is one window.  Null texts have no
     words; a null item_id is named by the empty string; items that share an id count once; an empty benchmark hits
@@ -218,11 +218,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), text_bytes().alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).head()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
-    rows = docs.select("doc_id", text_bytes().alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_STATE).alias("spans"), F.array().cast("array<string>").alias("items"))
+    rows = docs.select("doc_id", text_bytes().alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_STATE).alias("spans"), F.array().cast("array<string>").alias("items"), *more)
+    kinds = dict(docs.dtypes)
+    schema = f"doc_id {kinds['doc_id']}, text binary, n_words long, spans {_STATE}, items array<string>" + "".join(f", `{c}` {kinds[c]}" for c in more)
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         windows = spark.sparkContext.broadcast(Windows([(r["item_id"], bytes(r["text"])) for r in own.collect()]))
-        rows = rows.mapInArrow(_pass(windows), f"doc_id {dict(docs.dtypes)['doc_id']}, text binary, n_words long, spans {_STATE}, items array<string>")
+        rows = rows.mapInArrow(_pass(windows), schema)
     return rows
 
 
@@ -235,6 +237,37 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+_TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def without_spans(text: bytes, spans: list[dict]) -> bytes:
+    """The text without the words of the spans and what stands between them; the rest as it is."""
+    words_at, out, place = [m.span() for m in _TOKEN.finditer(text)], [], 0
+    for s in spans:
+        out.append(text[place : words_at[s["start"]][0]])
+        place = words_at[s["end"] - 1][1]
+    return b"".join([*out, text[place:]])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Documents (doc_id, text, lang, source, n_chars) without leaks: those with windows of two items or more go, and from
+    those with windows of one the hit words are cut.  All others stay as they are, null texts included."""
+    rows = leaks(docs.withColumn("missing", F.col("text").isNull()), benchmark, "lang", "source", "n_chars", "missing").where(F.size("items") < 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            spans = part.column(part.schema.get_field_index("spans")).to_pylist()
+            out = [without_spans(t, s) if s else t for t, s in zip(texts(part), spans)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary()), *part.columns[3:]], ["doc_id", "text", "changed", "lang", "source", "n_chars", "missing"])
+
+    kinds = dict(docs.dtypes)
+    rows = rows.select("doc_id", "text", "spans", (F.size("spans") > 0).alias("changed"), "lang", "source", "n_chars", "missing")
+    done = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, text binary, changed boolean, lang {kinds['lang']}, source {kinds['source']}, n_chars {kinds['n_chars']}, missing boolean")
+    text = F.when(~F.col("missing"), F.col("text").cast("string"))
+    n = F.when(F.col("changed"), F.char_length(F.col("text").cast("string")).cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
+    return done.select("doc_id", text.alias("text"), "lang", "source", n.alias("n_chars"))
+
+
 SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents

@@ -110,6 +110,7 @@ def copies(sizes: DataFrame) -> DataFrame:
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     sure = F.floor(rate + _CLOSE)
     part = F.when((F.col("size") > 0) & (rate - sure > _CLOSE), rate - sure).otherwise(F.lit(0.0))
+    kept = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
     rows = checkpoint(
         rated.withColumn("sure", sure.cast("long")).withColumn("p", part).withColumn("name", F.xxhash64(F.lit(SEED), "doc_id", "size"))
     )
@@ -127,10 +128,25 @@ def copies(sizes: DataFrame) -> DataFrame:
         loose = moved.where("p > 0 AND p < 1")
         if most == 1:
             break
-    return done.select("doc_id", "source", "size", "source_size", "target", (F.col("sure") + F.col("p").cast("long")).alias("copies"))
+    return done.select("doc_id", "source", "size", "source_size", "target", *kept, (F.col("sure") + F.col("p").cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row; taken counts the words of all copies."""
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size().alias("size"))
     return copies(sizes).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents (doc_id, text, lang, source, n_chars) that the mix takes, with copies and taken (their words).
+
+    Rows are known by two hashes of id, source and text; rows that are equal in all three share their copies evenly."""
+    row = ("doc_id", "source", "text")
+    rows = docs.withColumn("size", size()).withColumn("k1", F.xxhash64(*row)).withColumn("k2", F.xxhash64(F.lit(1), *row))
+    sizes = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "size", "k1", "k2")
+    chosen = copies(sizes).where("copies > 0").groupBy("k1", "k2").agg(F.sum("copies").alias("all"))
+    equal = W.partitionBy("k1", "k2")
+    number, count = F.row_number().over(equal.orderBy("lang", "n_chars")), F.count(F.lit(1)).over(equal)
+    share = F.floor(F.col("all") / F.col("count")).cast("long") + F.when(F.col("number") <= F.col("all") % F.col("count"), 1).otherwise(0)
+    rows = rows.join(chosen, ["k1", "k2"]).withColumn("number", number).withColumn("count", count).withColumn("copies", share).where("copies > 0")
+    return rows.select("doc_id", "text", "lang", "source", "n_chars", "copies", (F.col("copies") * F.col("size")).alias("taken"))

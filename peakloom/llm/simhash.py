@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpoint, chunks, text_bytes, texts
 from .components import connected_components
@@ -203,9 +204,29 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     never is the smallest unless all ids of its component are null.  An empty table gives an empty result.
     """
     own = checkpoint(fingerprints(docs))
+    return own.join(_named(own, max_bits), "print").select("doc_id", hex_print("print").alias("fingerprint"), "component_id")
+
+
+def _named(own: DataFrame, max_bits: int) -> DataFrame:
+    """(print, component_id) of the prints of ``own`` (doc_id, print)."""
     prints = checkpoint(own.groupBy("print").agg(F.min("doc_id").alias("least_id")))
     links = connected_components(near_links(prints, max_bits))
     rooted = prints.join(links, prints["print"] == links["node"], "left").select("print", "least_id", F.coalesce("root", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("print", "component_id")
-    return own.join(named, "print").select("doc_id", hex_print("print").alias("fingerprint"), "component_id")
+    return rooted.join(least, "root").select("print", "component_id")
+
+
+def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of their component, all columns as they are.
+
+    Rows that repeat the smallest id of a component all stay, as do rows of components without any id."""
+    named = _named(checkpoint(fingerprints(docs)), max_bits).select(F.col("print").alias("__print"), F.col("component_id").alias("__component"))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            prints = np.array([simhash((t or "").encode(errors="surrogatepass")) for t in part.column(place).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints.view(np.int64))], [*part.schema.names, "__print"])
+
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__print", T.LongType())]))
+    return rows.join(named, "__print").where(F.col("doc_id").cast("long").eqNullSafe(F.col("__component"))).select(*docs.columns)

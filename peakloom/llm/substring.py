@@ -168,6 +168,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     return removed.select("id", "print", F.lit(False).alias("whole"), "starts").unionByName(copies.select("id", "print", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts")))
 
 
+def _prepared(docs: DataFrame, *more: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("print"), F.xxhash64(F.lit(1), text).alias("other"), text_bytes().alias("text"), *more
+    )
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, "text"):
         rows = {"doc_id": part.column(0), "n_words": [], "n_removed": [], "kept": []}
@@ -187,16 +194,39 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A window of 50 consecutive words is removed if its words also start in a document with a smaller doc_id.  Null texts
     have no words.  A null doc_id comes after all others; rows that share an id aren't smaller than each other, so a row
     repeated as it is keeps its words.  Texts of fewer than 50 words keep all.  An empty table gives an empty result."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("print"), F.xxhash64(F.lit(1), text).alias("other"), text_bytes().alias("text")
-    )
+    rows = _prepared(docs)
     found = repeats(rows)
     joined = rows.select("id", "print", "text").join(found, ["id", "print"], "left")
     own = F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id")
     return joined.select(own, "text", "whole", "starts").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")
 
 
+def cut(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text, lang, source, n_chars) without their repeated passages; every row stays.
+
+    A text that loses nothing stays as it is, spaces included; of the others the kept words are joined by one space, and
+    n_chars follows.  See ``without_repeats`` for what is removed and for nulls."""
+    rows = _prepared(docs, "lang", "source", "n_chars", F.col("text").isNull().alias("missing"))
+    joined = rows.join(repeats(rows.select("id", "print", "other", "text")), ["id", "print"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            out = []
+            for t, w, s in zip(texts(part), *(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("whole", "starts"))):
+                words = t.split() if w or s else []
+                kept = kept_words(words, s, bool(w))
+                out.append(t if len(kept) == len(words) else b" ".join(kept))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary()), *part.columns[2:6], pa.array([a != b for a, b in zip(out, texts(part))])], ["id", "text", "lang", "source", "n_chars", "missing", "changed"])
+
+    kinds = dict(docs.dtypes)
+    done = joined.select("id", "text", "lang", "source", "n_chars", "missing", "whole", "starts").mapInArrow(
+        run, f"id long, text binary, lang {kinds['lang']}, source {kinds['source']}, n_chars {kinds['n_chars']}, missing boolean, changed boolean"
+    )
+    text = F.when(~F.col("missing"), F.col("text").cast("string"))
+    n = F.when(F.col("changed"), F.char_length(F.col("text").cast("string")).cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
+    return done.select(F.when(F.col("id") != _LAST, F.col("id")).cast(kinds["doc_id"]).alias("doc_id"), text.alias("text"), "lang", "source", n.alias("n_chars"))
+
+
 def report(docs: DataFrame) -> DataFrame:
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -259,3 +259,24 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = score(docs, train(docs, labels))
     held = F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out")
     return rows.select("doc_id", held, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "offsets")
+
+
+def without_toxic(docs: DataFrame, learn: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold, all columns as they are.
+
+    The model is fitted on ``learn``, the documents that ``labels`` speaks of.  Rows are scored where they are read: their
+    other columns travel along, so nothing is joined and rows that repeat an id are judged one by one."""
+    model = train(learn, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Model = shared.value
+        kept = Emissions(own)
+        for part in chunks(batches, "text"):
+            tokens = [words(x.encode(errors="surrogatepass") if x else b"") for x in part.column(place).to_pylist()]
+            lengths = np.array([len(d) for d in tokens], dtype=np.int64)
+            m = own.tokens(np.fromiter((kept[w] for d in tokens for w in d), dtype=float, count=int(lengths.sum())), lengths)
+            yield part.filter(pa.array(own.documents(m, lengths) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, chunks, partitions, text_bytes
+from .common import chunks, shared_folder, text_bytes
 
 #: Smaller payloads are never revisits.
 REVISIT_BYTES = 1000
@@ -171,8 +171,7 @@ def deduplicated(pages: DataFrame) -> DataFrame:
 def archive(pages: DataFrame) -> DataFrame:
     """Writes every page (page_id, url, html) to archives in the shared folder and reads them back; see ``read``."""
     spark = pages.sparkSession
-    checkpoint(spark.range(1))  # names the shared folder where none is set
-    path = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4()}"
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4()}"
     write(deduplicated(pages), path)
     return read(spark, path)
 
