@@ -4,12 +4,16 @@ Rounds rename the words of all documents alike: a round first names maximal runs
 left symbol has coin 1 and whose right symbol has coin 0.  Names and coins are hashes of what they stand for, so Spark's
 tasks agree on all names without exchanging them.  Each symbol carries the words that decided it, [low, high): equal words
 there give the equal symbol in any document.  For a window of 50 words the symbols decided inside it are thus the same
-wherever it occurs, and the least of their names is the window's key; a window without any (one inside a long run, say) has
-a key of its own words.  Keys that differing texts share reveal repeats; only windows under shared keys are then verified,
-by a 64-bit polynomial hash of their 50 words beside the key, and given the smallest document that has them.
-
-Exact copies of a text never meet in a group: all but the smallest id are settled by the text's digest.  Groups by key and
-by window are sums with map-side combining, joined back by shuffles that adaptive execution splits where a key is hot.
+wherever it occurs, and the highest-level one, that of the most words (then of the least name), is the window's key: long
+phrases are rare unless they are repeats.  A window without any symbol (one inside a long run, say) has a key of its own
+words.
+
+Consecutive windows with one key are a segment, about one for every 18 words, and only segments are exchanged.  A key that
+one document has is no repeat.  Where all segments of a key have the same words (a 64-bit polynomial hash of them, beside
+the key), those of all but the smallest document go at once.  A key whose segments differ lies at the edge of a repeat: of
+each variant the smallest document's segment stands for the others, and its windows are verified one by one, again by a
+hash of their 50 words beside the key.  All groups are sums with map-side combining, joined back by shuffles that adaptive
+execution splits where a key is hot; no group of copies meets in one task.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from .common import WordNames, checkpoint, chunks, mixed, text_bytes, texts
 WINDOW, ROUNDS = 50, 3
 _LAST = (1 << 63) - 1  # a null doc_id comes after all others
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_SEGMENTS = "array<struct<key:long,low:int,high:int>>"
+#: span: the first and last window's start, as low << 32 | high.
+_SEGMENTS = "array<struct<key:long,hash:long,span:long>>"
 _WINDOWS = "array<struct<key:long,hash:long,start:int>>"
 
 
@@ -35,17 +40,17 @@ def _u(x: int) -> np.uint64:
     return np.uint64(x & 0xFFFFFFFFFFFFFFFF)
 
 
-def name_runs(name: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def name_runs(name: np.ndarray, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A maximal run of k > 1 equal symbols becomes one; what ends a run on either side also decides it."""
     first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
     last = np.concatenate([first[1:], [len(name)]]) - 1
     out, length = name[first], (last - first + 1).astype(np.uint64)
     many = length > 1
     out[many] = mixed(out[many] ^ mixed(length[many] + _u(0xA5A5)))
-    return out, low[np.maximum(first - 1, 0)], high[np.minimum(last + 1, len(name) - 1)]
+    return out, low[np.maximum(first - 1, 0)], high[np.minimum(last + 1, len(name) - 1)], np.add.reduceat(size, first)
 
 
-def name_pairs(name: np.ndarray, low: np.ndarray, high: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def name_pairs(name: np.ndarray, low: np.ndarray, high: np.ndarray, size: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (coin 1, coin 0) become one symbol; a symbol left alone was also decided by the neighbour it didn't join."""
     coin = (mixed(name + _u(turn * 0x51ED27)) >> _u(63)).astype(bool)
     joins = coin[:-1] & ~coin[1:]
@@ -54,7 +59,7 @@ def name_pairs(name: np.ndarray, low: np.ndarray, high: np.ndarray, turn: int) -
     out = np.where(left, mixed(name * _u(3) + mixed(name[after] + _u(0x7F4A))), name)
     high = np.where(left | coin, high[after], high)
     low = np.where(left | coin, low, low[before])
-    return out[~right], low[~right], high[~right]
+    return out[~right], low[~right], high[~right], np.where(left, size + size[after], size)[~right]
 
 
 class Parsed:
@@ -69,25 +74,28 @@ class Parsed:
             if d:
                 self.name[s : s + len(d)] = names.of(d)
         counts = np.maximum(self.sizes - WINDOW + 1, 0)
+        self._sums = None
         #: Where each window starts, and its document.
         self.owner = np.repeat(np.arange(len(documents)), counts)
         ends = np.cumsum(counts)
         self.window = np.repeat(self.starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(counts) else 0)
 
-    def hashes(self, window: np.ndarray) -> np.ndarray:
+    def hashes(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of the words of each range [first, end)."""
         n = len(self.name)
-        power = np.cumprod(np.concatenate([[_u(1)], np.full(n, _u(_BASE))]), dtype=np.uint64)
-        back = np.cumprod(np.concatenate([[_u(1)], np.full(n, _u(_INVERSE))]), dtype=np.uint64)
-        sums = np.concatenate([[_u(0)], np.cumsum(self.name * power[:n], dtype=np.uint64)])
-        return mixed((sums[window + WINDOW] - sums[window]) * back[window])
+        if self._sums is None:
+            self._power = np.cumprod(np.concatenate([[_u(1)], np.full(n, _u(_BASE))]), dtype=np.uint64)
+            self._back = np.cumprod(np.concatenate([[_u(1)], np.full(n, _u(_INVERSE))]), dtype=np.uint64)
+            self._sums = np.concatenate([[_u(0)], np.cumsum(self.name * self._power[:n], dtype=np.uint64)])
+        return mixed((self._sums[end] - self._sums[first]) * self._back[first] + (end - first).astype(np.uint64))
 
     def keys(self) -> np.ndarray:
         """The key of each window."""
         place = np.arange(len(self.name), dtype=np.int64)
-        name, low, high = self.name, place, place + 1
+        name, low, high, size = self.name, place, place + 1, np.ones_like(place)
         for turn in range(ROUNDS):
-            name, low, high = name_pairs(*name_runs(name, low, high), turn)
-        rank = mixed(name + _u(0x2545F491))
+            name, low, high, size = name_pairs(*name_runs(name, low, high, size), turn)
+        rank = (_u(15) - np.minimum(size, 15).astype(np.uint64) << _u(60)) | (mixed(name + _u(0x2545F491)) >> _u(4))
         begin, end = np.searchsorted(low, self.window, "left"), np.searchsorted(high, self.window + WINDOW, "right")
         inside, key, level, least = end - begin, np.zeros(len(self.window), dtype=np.uint64), 0, rank
         while (some := inside >= (1 << level)).any():
@@ -97,7 +105,7 @@ class Parsed:
             level += 1
         bare = inside <= 0
         if bare.any():
-            key[bare] = mixed(self.hashes(self.window[bare]) + _u(0x1B873593))
+            key[bare] = mixed(self.hashes(self.window[bare], self.window[bare] + WINDOW) + _u(0x1B873593))
         return key
 
 
@@ -115,8 +123,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.concatenate([edge[1:], [len(key)]]).astype(np.int64) - 1 if len(edge) else edge
         owner = parsed.owner[edge]
         shift = parsed.starts[owner]
-        segments = _list(owner, part.num_rows, {"key": key[edge].view(np.int64), "low": (parsed.window[edge] - shift).astype(np.int32), "high": (parsed.window[last] - shift).astype(np.int32)})
-        yield pa.RecordBatch.from_arrays([*part.columns[:3], segments], ["id", "print", "other", "segments"])
+        same = parsed.hashes(parsed.window[edge], parsed.window[last] + WINDOW).view(np.int64)
+        segments = _list(owner, part.num_rows, {"key": key[edge].view(np.int64), "hash": same, "span": (parsed.window[edge] - shift) << 32 | (parsed.window[last] - shift)})
+        yield pa.RecordBatch.from_arrays([*part.columns[:2], segments], ["id", "print", "segments"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,80 +134,79 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed = Parsed([t.split() for t in texts(part)], names)
         owner, key, start = [], [], []
         for k, segments in enumerate(part.column(part.schema.get_field_index("segments")).to_pylist()):
-            for s in sorted(segments, key=lambda s: s["low"]):
-                n = s["high"] - s["low"] + 1
-                owner.append(np.full(n, k))
-                key.append(np.full(n, s["key"], dtype=np.int64))
-                start.append(np.arange(s["low"], s["high"] + 1))
+            for s in sorted(segments, key=lambda s: s["span"]):
+                low, high = divmod(s["span"], 1 << 32)
+                owner.append(np.full(high - low + 1, k))
+                key.append(np.full(high - low + 1, s["key"], dtype=np.int64))
+                start.append(np.arange(low, high + 1))
         none = np.zeros(0, np.int64)
         owner, key, start = (np.concatenate(x or [none]) for x in (owner, key, start))
-        wins = _list(owner, part.num_rows, {"key": key, "hash": parsed.hashes(start + parsed.starts[owner]).view(np.int64), "start": start.astype(np.int32)})
+        first = start + parsed.starts[owner]
+        wins = _list(owner, part.num_rows, {"key": key, "hash": parsed.hashes(first, first + WINDOW).view(np.int64), "start": start.astype(np.int32)})
         yield pa.RecordBatch.from_arrays([*part.columns[:2], wins], ["id", "print", "windows"])
 
 
-def kept_words(words: list[bytes], starts: list[int] | None, whole: bool) -> list[bytes]:
-    if whole and len(words) >= WINDOW:
-        return []
-    if not starts:
+def kept_words(words: list[bytes], ranges: list[dict] | None) -> list[bytes]:
+    """Without the words of the windows that start in the ranges [low, high]."""
+    if not ranges:
         return words
     edge = np.zeros(len(words) + 1, dtype=np.int64)
-    at = np.array(starts, dtype=np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + WINDOW, -1)
+    np.add.at(edge, np.array([r["low"] for r in ranges]), 1)
+    np.add.at(edge, np.array([r["high"] for r in ranges]) + WINDOW, -1)
     return [words[k] for k in np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()]
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(id, print, whole boolean, starts array<int>): where removed windows start in the texts that have any.
-
-    ``docs`` has id, print, other (two hashes of the text) and text (bytes).  ``whole``: the text is an exact copy of a
-    smaller document's."""
-    parsed = checkpoint(docs.mapInArrow(_parse, f"id long, print long, other long, segments {_SEGMENTS}"))
-    text = ["print", "other"]
-    groups = parsed.groupBy(*text).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copies = parsed.select("id", *text).join(groups, text).where("id > least").select("id", "print").distinct()
-    rows = parsed.select("id", *text, F.explode("segments").alias("s")).select("id", *text, "s.*")
-    shared = rows.groupBy("key").agg(*(f(c).alias(f"{n}_{c}") for c in text for n, f in (("a", F.min), ("z", F.max)))).where("a_print <> z_print OR a_other <> z_other").select("key")
-    wanted = rows.join(shared, "key").groupBy("id", "print").agg(F.collect_list(F.struct("key", "low", "high")).alias("segments"))
-    wanted = wanted.join(copies, ["id", "print"], "left_anti")
-    windows = checkpoint(docs.select("id", "print", "text").join(wanted, ["id", "print"]).mapInArrow(_verify, f"id long, print long, windows {_WINDOWS}"))
+    """(id, print, ranges array<struct<low,high>>): where removed windows start in the texts that have any.
+
+    ``docs`` has id, print (a hash of the text) and text (bytes), and maybe more columns, which are kept in the text's
+    shuffle so that a later join by id and print can use it again."""
+    parsed = checkpoint(docs.select("id", "print", "text").mapInArrow(_parse, f"id long, print long, segments {_SEGMENTS}"))
+    rows = parsed.select("id", "print", F.explode("segments").alias("s")).select("id", "print", "s.*")
+    shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key")
+    hits = checkpoint(rows.join(shared, "key"))
+    variants = hits.groupBy("key", "hash").agg(F.min("id").alias("least"))
+    edges = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    sided = hits.join(variants, ["key", "hash"])
+    stand = sided.where("id = least").join(edges, "key").groupBy("id", "print").agg(F.collect_list(F.struct("key", "span")).alias("segments"))
+    windows = docs.join(stand, ["id", "print"]).select(*docs.columns, "segments").mapInArrow(_verify, f"id long, print long, windows {_WINDOWS}")
     each = windows.select("id", "print", F.explode("windows").alias("w")).select("id", "print", "w.*")
     least = each.groupBy("key", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    removed = each.join(least, ["key", "hash"]).where("id > least").groupBy("id", "print").agg(F.collect_set("start").alias("starts"))
-    return removed.select("id", "print", F.lit(False).alias("whole"), "starts").unionByName(copies.select("id", "print", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts")))
+    single = each.join(least, ["key", "hash"]).where("id > least").select("id", "print", F.col("start").alias("low"), F.col("start").alias("high"))
+    whole = sided.where("id > least").select("id", "print", F.shiftright("span", 32).cast("int").alias("low"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("high"))
+    return whole.unionByName(single).groupBy("id", "print").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
 
 def _prepared(docs: DataFrame, *more: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("print"), F.xxhash64(F.lit(1), text).alias("other"), text_bytes().alias("text"), *more
-    )
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("print"), text_bytes().alias("text"), *more)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each text's numbers of words and of removed ones, and its kept words."""
     for part in chunks(batches, "text"):
-        rows = {"doc_id": part.column(0), "n_words": [], "n_removed": [], "kept": []}
-        whole, starts = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("whole", "starts"))
-        for t, w, s in zip(texts(part), whole, starts):
+        counts, removed, out = [], [], []
+        for t, ranges in zip(texts(part), part.column(part.schema.get_field_index("ranges")).to_pylist()):
             words = t.split()
-            kept = kept_words(words, s, bool(w))
-            rows["n_words"].append(len(words))
-            rows["n_removed"].append(len(words) - len(kept))
-            rows["kept"].append(b" ".join(kept))
-        yield pa.RecordBatch.from_pydict(rows | {"n_words": pa.array(rows["n_words"], pa.int64()), "n_removed": pa.array(rows["n_removed"], pa.int64()), "kept": pa.array(rows["kept"], pa.binary())})
+            kept = kept_words(words, ranges)
+            counts.append(len(words))
+            removed.append(len(words) - len(kept))
+            out.append(b" ".join(kept))
+        yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.binary())], [*part.schema.names[:-1], "n_words", "n_removed", "kept"])
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept binary) for every row: its words but those that a removed window covers.
+def without_repeats(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept binary, text binary, ...) for every row: its words but those that a removed window
+    covers, and the columns ``more`` of ``docs``.
 
     A window of 50 consecutive words is removed if its words also start in a document with a smaller doc_id.  Null texts
     have no words.  A null doc_id comes after all others; rows that share an id aren't smaller than each other, so a row
     repeated as it is keeps its words.  Texts of fewer than 50 words keep all.  An empty table gives an empty result."""
-    rows = _prepared(docs)
-    found = repeats(rows)
-    joined = rows.select("id", "print", "text").join(found, ["id", "print"], "left")
-    own = F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id")
-    return joined.select(own, "text", "whole", "starts").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")
+    rows = _prepared(docs, *more)
+    joined = rows.join(repeats(rows), ["id", "print"], "left").select(*rows.columns, "ranges")
+    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
+    done = joined.mapInArrow(_cut, f"{kinds}, n_words long, n_removed long, kept binary")
+    return done.select(F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept", "text", *more)
 
 
 def cut(docs: DataFrame) -> DataFrame:
@@ -206,25 +214,12 @@ def cut(docs: DataFrame) -> DataFrame:
 
     A text that loses nothing stays as it is, spaces included; of the others the kept words are joined by one space, and
     n_chars follows.  See ``without_repeats`` for what is removed and for nulls."""
-    rows = _prepared(docs, "lang", "source", "n_chars", F.col("text").isNull().alias("missing"))
-    joined = rows.join(repeats(rows.select("id", "print", "other", "text")), ["id", "print"], "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text"):
-            out = []
-            for t, w, s in zip(texts(part), *(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("whole", "starts"))):
-                words = t.split() if w or s else []
-                kept = kept_words(words, s, bool(w))
-                out.append(t if len(kept) == len(words) else b" ".join(kept))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary()), *part.columns[2:6], pa.array([a != b for a, b in zip(out, texts(part))])], ["id", "text", "lang", "source", "n_chars", "missing", "changed"])
-
     kinds = dict(docs.dtypes)
-    done = joined.select("id", "text", "lang", "source", "n_chars", "missing", "whole", "starts").mapInArrow(
-        run, f"id long, text binary, lang {kinds['lang']}, source {kinds['source']}, n_chars {kinds['n_chars']}, missing boolean, changed boolean"
-    )
-    text = F.when(~F.col("missing"), F.col("text").cast("string"))
-    n = F.when(F.col("changed"), F.char_length(F.col("text").cast("string")).cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
-    return done.select(F.when(F.col("id") != _LAST, F.col("id")).cast(kinds["doc_id"]).alias("doc_id"), text.alias("text"), "lang", "source", n.alias("n_chars"))
+    done = without_repeats(docs.withColumn("missing", F.col("text").isNull()), "lang", "source", "n_chars", "missing")
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept").cast("string")).when(~F.col("missing"), F.col("text").cast("string"))
+    n = F.when(changed, F.char_length(F.col("kept").cast("string")).cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
+    return done.select(F.col("doc_id").cast(kinds["doc_id"]).alias("doc_id"), text.alias("text"), "lang", "source", n.alias("n_chars"))
 
 
 def report(docs: DataFrame) -> DataFrame:
