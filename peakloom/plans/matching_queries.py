@@ -167,7 +167,7 @@ _RUN = """{name} AS (SELECT {keys}, max(n) AS longest FROM (SELECT {keys}, g, co
   :: SELECT a.*, coalesce(CAST(b.longest AS DOUBLE), 0) AS b_series_continuity, coalesce(CAST(y.longest AS DOUBLE), 0) AS y_series_continuity, pi AS precursor_intensity, CAST(pc AS DOUBLE) AS precursor_charge, match_count / nt AS coverage, match_count / nt AS match_efficiency,
     CASE WHEN mean_intensity > 0 THEN max_intensity / mean_intensity ELSE 0 END AS intensity_snr, n_y_ions / greatest(n_b_ions, 1) AS y_to_b_ratio, greatest(coalesce(b.longest, 0), coalesce(y.longest, 0)) AS max_continuity, match_count - n_high_mass_ions - n_low_mass_ions AS n_mid_mass_ions
     FROM a JOIN p USING (psm_id) LEFT JOIN lr b ON b.psm_id = a.psm_id AND b.ion_type = 0 LEFT JOIN lr y ON y.psm_id = a.psm_id AND y.ion_type = 1""",
-    "total_intensity mean_intensity max_intensity median_intensity intensity_std mean_abs_ppm_error ppm_error_std max_abs_ppm_error mean_rt_diff std_rt_diff max_rt_diff min_rt_diff median_rt_diff mean_fragment_spacing coverage match_efficiency intensity_snr y_to_b_ratio max_continuity precursor_intensity", 4)
+    "total_intensity mean_intensity max_intensity median_intensity intensity_std mean_abs_ppm_error ppm_error_std max_abs_ppm_error mean_rt_diff std_rt_diff max_rt_diff min_rt_diff median_rt_diff mean_fragment_spacing coverage match_efficiency intensity_snr y_to_b_ratio max_continuity precursor_intensity", 9)
 def _(v, spark):
     own = v("v_matches")
     k = F.col("psm_id")
