@@ -1,7 +1,7 @@
 """License scans by canonical digest.
 
-A text is made canonical (case, copyright lines, punctuation, equivalent spellings), hashed, and its digest looked up
-among those of known licences, which went through the same expression.  Whole texts are looked up, and so is each line, as
+A text is made canonical line by line (case, copyright lines, punctuation, equivalent spellings), its lines are joined and
+hashed, and the digest is looked up among those of known licences, which went through the same expression.  Whole texts are looked up, and so is each line, as
 notices mostly stand alone in a longer text.
 """
 
@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 #: Known digests may be broadcast up to so many; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _COPYRIGHT = r"^[^a-z0-9]*(copyright[ \t]*(\(c\)|©|[0-9]|<|\[|by )|\(c\)|©|all rights reserved)"
-_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F“”‘’–—•©]+"
+_BREAK = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F“”‘’–—•©]+"
 # Spellings that licence texts use for the same word.
 SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub licence", "sublicense"),
@@ -38,18 +37,26 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 }
 
 
-def canonical(text: Column) -> Column:
-    lines = F.filter(F.split(F.translate(text, _UPPER, _LOWER), "\n"), lambda line: ~line.rlike(_COPYRIGHT))
-    out = F.concat(F.lit(" "), F.regexp_replace(F.array_join(lines, "\n"), _BREAK, " "), F.lit(" "))
+def canonical_lines(text: Column) -> Column:
+    """The lines that are left, each with its words apart by one space; spellings don't reach over lines.
+
+    The whole text goes through each step once, line breaks held apart from words, and is split at the end."""
+    lines = F.filter(F.split(F.lower(text), "\n"), lambda line: ~line.rlike(_COPYRIGHT))
+    out = F.concat(F.lit(" "), F.array_join(lines, " \n "), F.lit(" "))
+    out = F.regexp_replace(out, _BREAK, " ")
     for spelling, word in SPELLINGS:
         out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {word} "))
-    return F.trim(out)
+    return F.filter(F.transform(F.split(out, "\n"), lambda line: F.trim(line)), lambda line: line != "")
+
+
+def canonical(lines: Column) -> Column:
+    return F.array_join(lines, " ")
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
     """(digest, license_id); of licences with equal canonical texts the first by name counts."""
     rows = spark.createDataFrame(list(known.items()), "license_id string, text string")
-    return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    return rows.groupBy(F.sha2(canonical(canonical_lines(F.col("text"))), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -58,23 +65,23 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     license_id: the licence that the whole text is, else null; notices: the licences that single lines are, sorted and
     joined by commas (none: empty).  Null texts count as empty.  Repeated rows each get the same result."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(text), 256).alias("canonical_sha256"), F.transform(F.split(text, "\n"), lambda line: F.sha2(canonical(line), 256)).alias("lines"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical_lines(text).alias("kept"))
+    rows = rows.select("doc_id", F.sha2(canonical(F.col("kept")), 256).alias("canonical_sha256"), F.transform(F.array_distinct("kept"), lambda line: F.sha2(line, 256)).alias("lines"))
     if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    lines = rows.select("canonical_sha256", "doc_id", F.explode(F.array_distinct("lines")).alias("digest")).join(known, "digest")
+    lines = rows.select("canonical_sha256", "doc_id", F.explode("lines").alias("digest")).join(known, "digest")
     notices = lines.groupBy("canonical_sha256", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("id")).agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     whole = rows.select("doc_id", "canonical_sha256").join(known.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left")
     same = [whole["canonical_sha256"] == notices["canonical_sha256"], F.coalesce(whole["doc_id"], F.lit(-(1 << 63)).cast("long")) == notices["id"]]
     return whole.join(notices, same, "left").select(whole["doc_id"], whole["canonical_sha256"], "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
-def _sql(text: str) -> str:
-    lower = f"translate({text}, '{_UPPER}', '{_LOWER}')"
-    lines = f"array_to_string(list_filter(string_split({lower}, chr(10)), lambda line: NOT regexp_matches(line, '{_COPYRIGHT}')), chr(10))"
-    out = f"' ' || regexp_replace({lines}, '{_BREAK}', ' ', 'g') || ' '"
+def _lines_sql(text: str) -> str:
+    lines = f"list_filter(string_split(lower({text}), chr(10)), lambda line: NOT regexp_matches(line, '{_COPYRIGHT}'))"
+    out = f"regexp_replace(' ' || array_to_string({lines}, ' ' || chr(10) || ' ') || ' ', '{_BREAK}', ' ', 'g')"
     for spelling, word in SPELLINGS:
         out = f"replace({out}, ' {spelling} ', ' {word} ')"
-    return f"sha256(trim({out}))"
+    return f"list_filter(list_transform(string_split({out}, chr(10)), lambda line: trim(line)), lambda line: line <> '')"
 
 
 def _literal(x: str) -> str:
@@ -83,12 +90,12 @@ def _literal(x: str) -> str:
 
 SQL = f"""
 WITH given(license_id, t) AS (VALUES {", ".join(f"({_literal(k)}, {_literal(v)})" for k, v in KNOWN.items())}
-), known AS (SELECT digest, min(license_id) AS license_id FROM (SELECT license_id, {_sql("t")} AS digest FROM given) GROUP BY digest
-), d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
-), lines AS (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d
+), known AS (SELECT digest, min(license_id) AS license_id FROM (SELECT license_id, sha256(array_to_string({_lines_sql("t")}, ' ')) AS digest FROM given) GROUP BY digest
+), d AS (SELECT row_number() OVER () AS r, doc_id, {_lines_sql("coalesce(text, '')")} AS kept FROM documents
+), lines AS (SELECT r, unnest(list_distinct(kept)) AS l FROM d
 ), notices AS (
-  SELECT r, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS notices FROM (SELECT r, {_sql("l")} AS digest FROM lines) JOIN known USING (digest) GROUP BY r
+  SELECT r, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS notices FROM (SELECT r, sha256(l) AS digest FROM lines) JOIN known USING (digest) GROUP BY r
 )
 SELECT doc_id, canonical_sha256, license_id, coalesce(notices, '') AS notices
-FROM (SELECT r, doc_id, {_sql("t")} AS canonical_sha256 FROM d) LEFT JOIN known ON digest = canonical_sha256 LEFT JOIN notices USING (r)
+FROM (SELECT r, doc_id, sha256(array_to_string(kept, ' ')) AS canonical_sha256 FROM d) LEFT JOIN known ON digest = canonical_sha256 LEFT JOIN notices USING (r)
 """
