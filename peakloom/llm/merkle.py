@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 PIECE, DIGITS = 24, 6
 #: Bits of doc_id inside a block: a window sorts one block of ids, and blocks of blocks in turn.
 BLOCK_BITS = 12
@@ -74,13 +76,14 @@ def with_next(rows: DataFrame) -> DataFrame:
     No window spans the table: rows are led inside blocks of 2**BLOCK_BITS keys, the first rows of blocks are led in the
     same way one level up, and a block's last row takes what its block's successor starts with.
     """
-    span = rows.agg(F.min(F.shiftright("k", BLOCK_BITS)), F.max(F.shiftright("k", BLOCK_BITS))).head()
-    rows = rows.withColumn("block", F.shiftright("k", BLOCK_BITS))
+    block = F.shiftright("k", BLOCK_BITS)
+    span = rows.agg(F.min(block), F.max(block)).head()
+    rows = rows.withColumn("block", block - F.lit(span[0] or 0))  # from 0 on, so each level's keys shrink towards 0
     order = W.partitionBy("block").orderBy("k", "text")
     led = rows.withColumn("in_block", F.lead("text").over(order))
     if span[0] is None or span[0] == span[1]:
         return led.withColumn("next_text", F.coalesce("in_block", F.first("text").over(order))).drop("in_block", "block")
-    firsts = rows.withColumn("rank", F.row_number().over(order)).where("rank = 1").select(F.col("block").alias("k"), "text")
+    firsts = checkpoint(rows.withColumn("rank", F.row_number().over(order)).where("rank = 1").select(F.col("block").alias("k"), "text"))
     after = with_next(firsts).select(F.col("k").alias("block"), "next_text")
     closing = F.when(F.col("in_block").isNull(), F.col("block"))  # null, so without a partner, inside a block
     return (
