@@ -63,7 +63,7 @@ def record(row: dict) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + body + b"\r\n\r\n"
 
 
-def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frames(batches: Iterator[pa.RecordBatch], archive_rows: int) -> Iterator[pa.RecordBatch]:
     """Archives of a task, one after the other: a dictionary frame, then a frame for each record."""
     waiting: list[bytes] = []
 
@@ -78,19 +78,19 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, "payload"):
         for row in part.to_pylist():
             waiting.append(record(row))
-            if len(waiting) == ARCHIVE_ROWS - 1:
+            if len(waiting) == archive_rows - 1:
                 yield archive()
     if waiting:
         yield archive()
 
 
-def write(pages: DataFrame, path: str) -> None:
+def write(pages: DataFrame, path: str, archive_rows: int = ARCHIVE_ROWS) -> None:
     """Archives of ``pages`` (page_id, url, payload, payload_digest, refers_to) as files of the folder ``path``.
 
     An empty table leaves a folder without records."""
-    rows = pages.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(_frames, "value binary")
+    rows = pages.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(lambda batches: _frames(batches, archive_rows), "value binary")
     sink = rows.select(F.col("value").cast("string").alias("value")).write.mode("errorifexists")
-    sink.option("lineSep", EMPTY_FRAME.decode()).option("maxRecordsPerFile", ARCHIVE_ROWS).option("compression", "none").text(path)
+    sink.option("lineSep", EMPTY_FRAME.decode()).option("maxRecordsPerFile", archive_rows).option("compression", "none").text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
