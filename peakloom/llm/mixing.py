@@ -5,7 +5,7 @@ fraction is the inclusion probability of one more copy.  The cube method moves t
 through the null space of two constraints (the copies' words and the number of copies), so that both totals stay as they
 are, until at most two documents of the block stay fractional.  Those go on to the next round's blocks of the same source,
 a few hundred times fewer each round, until each source has one last block.  Its flight leaves out ``RESERVE`` documents from the
-largest to the smallest, so that the landing problem (14 documents at most) has choices of every size; all of them are tried and the
+largest to the smallest, so that the landing problem (16 documents at most) has choices of every size; all of them are tried and the
 nearest to the target is taken.  A block has a bounded number of rows whatever its source's size.
 """
 
@@ -24,7 +24,7 @@ SHARE, MOST = 1.5, 2.0
 #: Documents that a block holds on average.
 BLOCK_ROWS = 1000
 #: Documents of a source's last block that the flight leaves to the landing problem, from the largest to the smallest.
-RESERVE = 12
+RESERVE = 14
 SEED = 11
 _CLOSE = 1e-9
 
@@ -96,7 +96,8 @@ def _block(last: bool):
         sizes, p = frame["size"].to_numpy(np.float64), frame["p"].to_numpy(np.float64).copy()
         flying = np.arange(len(p))
         if last:
-            spread = np.linspace(0, len(p) - 1, min(RESERVE, len(p))).astype(np.int64)
+            n = min(len(p), RESERVE // 2)
+            spread = np.concatenate([np.geomspace(1, len(p), n), np.linspace(1, len(p), n)]).astype(np.int64) - 1
             flying = np.setdiff1d(flying, np.argsort(-sizes, kind="stable")[spread])
         p[flying] = flight(p[flying], sizes[flying], np.random.default_rng([SEED, int(frame["name"].iloc[0]) & 0xFFFFFFFF, len(frame)]))
         return frame.assign(p=land(p, sizes) if last else p)
