@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one chunk of a Python stage holds, unless a single text is longer.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 class WordNames(dict):
     """XXH64 of each word, kept while fewer than ``limit`` words are held."""
 
-    def __init__(self, seed: int, limit: int = 400_000):
+    def __init__(self, seed: int, limit: int = 150_000):
         super().__init__()
         self.seed, self.limit = seed, limit
 

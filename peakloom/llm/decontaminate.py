@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import chunks, text_bytes, texts
 
 WINDOW = 8
-SHARD_BYTES, BLOCK_BYTES = 6 << 20, 32 << 20
+SHARD_BYTES, BLOCK_BYTES = 4 << 20, 32 << 20
 #: Every so many text positions have their suffix position kept.
 SAMPLE = 8
 

@@ -132,7 +132,7 @@ def expected(marginals: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Emissions(dict):
     """Emission odds of each word, kept while fewer than ``limit`` words are held."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 150_000):
         super().__init__()
         self.weights, self.limit = model.weights.tolist(), limit
 
@@ -145,19 +145,32 @@ class Emissions(dict):
 
 
 def markers(documents: list[list[bytes]], toxic: list[int]) -> set[bytes]:
-    """Words (after b"w") and prefixes (after b"p") that mark toxic documents."""
-    seen: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
-    totals = (set(), set())
+    """Words (after b"w") and prefixes (after b"p") that mark toxic documents.
+
+    Only what is in toxic documents is counted in the others, which bounds the counts by the smaller class."""
+
+    def parts(own: list[bytes]) -> tuple[int, set[bytes]]:
+        distinct = set(own)  # near copies mostly share their least word
+        return min(xxhash.xxh64_intdigest(w, 17) for w in distinct), {b"w" + w for w in distinct} | {b"p" + w[:k] for w in distinct for k in PREFIXES if k <= len(w)}
+
+    totals: tuple[set[int], set[int]] = (set(), set())
+    seen: dict[bytes, set[int]] = defaultdict(set)
     for own, y in zip(documents, toxic):
-        distinct = set(own)
-        if not distinct:
-            continue
-        copy = min(xxhash.xxh64_intdigest(w, 17) for w in distinct)  # near copies mostly share their least word
-        totals[y].add(copy)
-        for x in {b"w" + w for w in distinct} | {b"p" + w[:k] for w in distinct for k in PREFIXES if k <= len(w)}:
-            seen[y][x].add(copy)
+        if y and own:
+            copy, found = parts(own)
+            totals[1].add(copy)
+            for x in found:
+                seen[x].add(copy)
+    seen = {x: c for x, c in seen.items() if len(c) >= SUPPORT}
+    others: dict[bytes, set[int]] = {x: set() for x in seen}
+    for own, y in zip(documents, toxic):
+        if not y and own:
+            copy, found = parts(own)
+            totals[0].add(copy)
+            for x in found & others.keys():
+                others[x].add(copy)
     rate = (len(totals[1]) + 1) / (len(totals[0]) + 1)
-    return {x for x, c in seen[1].items() if len(c) >= SUPPORT and len(c) + 0.5 >= ODDS * rate * (len(seen[0].get(x, ())) + 0.5)}
+    return {x for x, c in seen.items() if len(c) + 0.5 >= ODDS * rate * (len(others[x]) + 0.5)}
 
 
 def fit(rows: list[tuple[bytes, int]]) -> Model:
@@ -171,11 +184,20 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
         return Model(np.zeros(1 << BITS), 1e-3, np.ones((2, 2)), 0.0, prior)
     marked = markers(documents, toxic)
     number: dict[bytes, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for d in documents for w in d], dtype=np.int64)
+    ids = np.fromiter((number.setdefault(w, len(number)) for d in documents for w in d), dtype=np.int32)
     hits = np.array([b"w" + w in marked or any(b"p" + w[:k] in marked for k in PREFIXES if k <= len(w)) for w in number])
     label = (hits[ids] & np.repeat(y > 0, lengths)).astype(float)
-    having = [token_features(w) for w in number]
-    feature, of_word = np.array([f for h in having for f in h]), np.repeat(np.arange(len(having)), [len(h) for h in having])
+    n_words, counts = len(number), np.zeros(len(number), dtype=np.int64)
+
+    def each():
+        for k, w in enumerate(number):
+            found = token_features(w)
+            counts[k] = len(found)
+            yield from found
+
+    feature = np.fromiter(each(), dtype=np.int32)
+    of_word = np.repeat(np.arange(n_words, dtype=np.int32), counts)
+    del documents, number, hits, marked
 
     chains = Chains(lengths)
     opening = np.cumsum(lengths)[lengths > 0] - lengths[lengths > 0]
@@ -187,14 +209,14 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
     slopes, squares = [np.zeros_like(x) for x in fields], [np.full_like(x, 1e-12) for x in fields]
     for turn in range(STEPS):
         a = np.exp(fields[1])
-        emission = np.bincount(of_word, fields[0][feature], minlength=len(having))
+        emission = np.bincount(of_word, fields[0][feature], minlength=n_words)
         e = np.exp(np.clip(emission, -30, 30))[ids]
         forward, backward = chains.marginals(e, float(np.exp(fields[2][0])), a)
         p = 1 - 1 / (1 + forward * backward)
         eg, f = (e * backward)[nxt], forward[nxt - 1]
         pair = np.array([np.full(len(nxt), a[0, 0]), a[0, 1] * eg, a[1, 0] * f, a[1, 1] * f * eg])
         pair = (pair / pair.sum(axis=0)).sum(axis=1).reshape(2, 2)
-        per_word = np.bincount(ids, label - p, minlength=len(having))
+        per_word = np.bincount(ids, label - p, minlength=n_words)
         found = [np.bincount(feature, per_word[of_word], minlength=1 << BITS), seen - pair, np.array([(label[opening] - p[opening]).sum()])]
         for x, g, m, v in zip(fields, found, slopes, squares):  # Adam: the early, large gradients are forgotten
             g = g / len(rows) - RIDGE * x
@@ -203,7 +225,7 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
             x += RATE / (1 + turn / 30) * m / np.sqrt(v + 1e-16)
     weights, moves, start = fields
     model = Model(weights, float(np.exp(start[0])), np.exp(moves), 0.0, 0.0)
-    emission = np.bincount(of_word, weights[feature], minlength=len(having))
+    emission = np.bincount(of_word, weights[feature], minlength=n_words)
     x = np.log1p(expected(model.tokens(np.exp(np.clip(emission, -30, 30))[ids], lengths), lengths))
     slope, bias = 1.0, prior
     for _ in range(60):  # Newton's method with a small ridge

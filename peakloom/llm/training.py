@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import text_bytes
 
 #: Labelled documents that a classifier is fitted on at most, and the bytes of the longest text among them.
-SAMPLE_ROWS, SAMPLE_BYTES = 5000, 8192
+SAMPLE_ROWS, SAMPLE_BYTES = 3500, 8192
 
 
 def fold(n: int, column: str = "doc_id") -> Column:
