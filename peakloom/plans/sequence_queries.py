@@ -66,21 +66,27 @@ def _(v, spark):
 _PRECURSORS = f"q AS (SELECT peak_id, CAST(2 + peak_id % 2 AS INTEGER) AS charge, mz * (2 + peak_id % 2) - (2 + peak_id % 2) * CAST({PROTON} AS DOUBLE) AS mass FROM v_peaks)"
 
 
+def _masses(v):
+    """Targets and decoys of each mass: peptides of one composition weigh the same, so they meet a precursor as one row."""
+    db = sequences.target_decoy_database(v("v_proteins"), 0)
+    return db.groupBy(F.col("neutral_mass").alias("m")).agg(F.count(F.when(~F.col("is_decoy"), 1)).alias("targets"), F.count(F.when(F.col("is_decoy"), 1)).alias("decoys"))
+
+
+def _precursors(v):
+    charge = (2 + F.col("peak_id") % 2).cast("int")
+    return v("v_peaks").select("peak_id", charge.alias("charge"), mass.mass_from_mz(F.col("mz"), charge).alias("mass"))
+
+
 @R.add("mass_search_ppm", _UNION + f", n AS (SELECT is_decoy, {mass_sql('sequence')} AS m FROM db), {_PRECURSORS}:: SELECT peak_id, charge, count(*) AS n_candidates, count(*) FILTER (WHERE is_decoy) AS n_decoys FROM q JOIN n ON m BETWEEN mass - mass * 5.0 / 1e6 AND mass + mass * 5.0 / 1e6 GROUP BY ALL")
 def _(v, spark):
-    db = sequences.target_decoy_database(v("v_proteins"), 0).select("is_decoy", F.col("neutral_mass").alias("m"))
-    charge = (2 + F.col("peak_id") % 2).cast("int")
-    q = v("v_peaks").select("peak_id", charge.alias("charge"), mass.mass_from_mz(F.col("mz"), charge).alias("mass"))
-    pairs = tolerance_join(q, db, 5.0, "mass", "m")
-    return pairs.groupBy("peak_id", "charge").agg(F.count(F.lit(1)).alias("n_candidates"), F.count(F.when(F.col("is_decoy"), 1)).alias("n_decoys"))
+    pairs = tolerance_join(_precursors(v), _masses(v), 5.0, "mass", "m")
+    return pairs.groupBy("peak_id", "charge").agg(F.sum(F.col("targets") + F.col("decoys")).alias("n_candidates"), F.sum("decoys").alias("n_decoys"))
 
 
 @R.add("peptide_candidates", _UNION + f", n AS (SELECT is_decoy, {mass_sql('sequence')} AS m FROM db), {_PRECURSORS}:: SELECT charge, is_decoy, count(*) AS n_candidates, count(DISTINCT peak_id) AS n_precursors FROM q JOIN n ON m BETWEEN mass - mass * 5.0 / 1e6 AND mass + mass * 5.0 / 1e6 GROUP BY ALL")
 def _(v, spark):
-    db = sequences.target_decoy_database(v("v_proteins"), 0).select("is_decoy", F.col("neutral_mass").alias("m"))
-    charge = (2 + F.col("peak_id") % 2).cast("int")
-    q = v("v_peaks").select("peak_id", charge.alias("charge"), mass.mass_from_mz(F.col("mz"), charge).alias("mass"))
-    per = tolerance_join(q, db, 5.0, "mass", "m").groupBy("charge", "is_decoy", "peak_id").agg(F.count(F.lit(1)).alias("k"))
+    per = tolerance_join(_precursors(v), _masses(v), 5.0, "mass", "m").groupBy("charge", "peak_id").agg(F.sum("targets").alias("t"), F.sum("decoys").alias("d"))
+    per = per.select("charge", F.explode(F.array(F.struct(F.lit(False).alias("is_decoy"), F.col("t").alias("k")), F.struct(F.lit(True).alias("is_decoy"), F.col("d").alias("k")))).alias("x")).select("charge", "x.*").where("k > 0")
     return per.groupBy("charge", "is_decoy").agg(F.sum("k").alias("n_candidates"), F.count(F.lit(1)).alias("n_precursors"))
 
 
