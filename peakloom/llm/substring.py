@@ -163,9 +163,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     shuffle so that a later join by id and print can use it again."""
     parsed = checkpoint(docs.select("id", "print", "text").mapInArrow(_parse, f"id long, print long, segments {_SEGMENTS}"))
     rows = parsed.select("id", "print", F.explode("segments").alias("s")).select("id", "print", "s.*")
-    shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key")
+    # a group-by right below a join would tie the join's partitions to its own and keep a hot key whole: hence checkpoints
+    shared = checkpoint(rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key"))
     hits = checkpoint(rows.join(shared, "key"))
-    variants = hits.groupBy("key", "hash").agg(F.min("id").alias("least"))
+    variants = checkpoint(hits.groupBy("key", "hash").agg(F.min("id").alias("least")))
     edges = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     sided = hits.join(variants, ["key", "hash"])
     stand = sided.where("id = least").join(edges, "key").groupBy("id", "print").agg(F.collect_list(F.struct("key", "span")).alias("segments"))
