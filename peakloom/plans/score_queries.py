@@ -84,9 +84,12 @@ def _(v, spark):
     return calibration.fill_bins(bins.select("bin", F.when(F.col("bin") % 5 == 2, F.col("i")).alias("correction")))
 
 
-@R.add("presearch_charge_error", f"""c AS (SELECT feature_id AS id, charge, mz * charge - charge * CAST(1.007276466622 AS DOUBLE) AS mass FROM v_features WHERE charge > 0), p AS (SELECT (b.mass - a.mass) / (SELECT median(mass) FROM c) * 1e6 AS e FROM c a JOIN c b ON a.charge <> b.charge AND b.mass <= a.mass + a.mass * 50.0 / 1e6 AND (b.mass > a.mass OR (b.mass = a.mass AND b.id > a.id))),
-  m AS (SELECT median(e) AS m FROM p), s AS (SELECT median(abs(e - m)) AS s FROM p, m), i AS (SELECT e FROM p, m, s WHERE s < 1e-6 OR abs(e - m) / (1.4826 * s) < 3)
-  :: SELECT median(e) AS median_ppm, stddev_pop(e) AS std_ppm, greatest(10, quantile_cont(abs(e), 0.95) + 5) AS recommended_tolerance, (SELECT count(*) FROM p) AS n_pairs, CAST(50 AS DOUBLE) AS tolerance_used FROM i""", "median_ppm std_ppm recommended_tolerance tolerance_used", 4)
+@R.add("presearch_charge_error", """c AS (SELECT feature_id AS id, charge, mz * charge - charge * CAST(1.007276466622 AS DOUBLE) AS mass FROM v_features WHERE charge > 0),
+  w AS (SELECT a.mass AS am, b.mass AS bm FROM c a JOIN c b ON a.charge <> b.charge AND b.mass <= a.mass + a.mass * 50.0 / 1e6 AND (b.mass > a.mass OR (b.mass = a.mass AND b.id > a.id))),
+  tl AS (SELECT CAST(CASE WHEN count(*) >= 100 THEN 50 ELSE 10 END AS DOUBLE) AS tol FROM w), p AS (SELECT (bm - am) / (SELECT median(mass) FROM c) * 1e6 AS e FROM w, tl WHERE bm <= am + am * tol / 1e6),
+  m AS (SELECT median(e) AS m FROM p), s AS (SELECT median(abs(e - m)) AS s FROM p, m), k AS (SELECT e FROM p, m, s WHERE s < 1e-6 OR abs(e - m) / (1.4826 * s) < 3),
+  i AS (SELECT e FROM k WHERE (SELECT count(*) FROM k) > 10 UNION ALL SELECT e FROM p WHERE (SELECT count(*) FROM k) <= 10)
+  :: SELECT median(e) AS median_ppm, stddev_pop(e) AS std_ppm, greatest(10, quantile_cont(abs(e), 0.95) + 5) AS recommended_tolerance, (SELECT count(*) FROM p) AS n_pairs, (SELECT tol FROM tl) AS tolerance_used FROM i""", "median_ppm std_ppm recommended_tolerance tolerance_used", 4)
 def _(v, spark):
     return calibration.presearch_errors(v("v_features").where("charge > 0").select(F.col("feature_id").alias("id"), "mz", "charge"))
 
