@@ -43,10 +43,12 @@ def same_mass(target: Column, other: Column, tolerance: float = 0.001) -> Column
 
 
 def append_decoys(targets: DataFrame, method: str = "diann", column: str = "sequence") -> DataFrame:
-    """Distinct targets and their decoys, (sequence, is_decoy, accession); a decoy that is a target is left out."""
-    own = targets.select(F.col(column).alias("sequence")).distinct()
-    made = own.select(decoy(F.col("sequence"), method).alias("sequence")).distinct().join(own, "sequence", "left_anti")
-    union = own.withColumn("is_decoy", F.lit(False)).unionByName(made.withColumn("is_decoy", F.lit(True)))
+    """Distinct targets and their decoys, (sequence, is_decoy, accession); a decoy that is a target is left out.
+
+    Both come from one pass over the targets and meet in one aggregation, which combines repeats before the exchange."""
+    own, entry = F.col(column), lambda s, d: F.struct(s.alias("sequence"), F.lit(d).alias("is_decoy"))
+    both = targets.select(F.explode(F.array(entry(own, False), entry(decoy(own, method), True))).alias("x")).select("x.*")
+    union = both.groupBy("sequence").agg(F.min("is_decoy").alias("is_decoy"))
     return union.withColumn("accession", F.when(F.col("is_decoy"), F.concat(F.lit("DECOY_"), "sequence")).otherwise(F.col("sequence")))
 
 

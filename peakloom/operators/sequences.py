@@ -40,7 +40,7 @@ def mass_index(sequences: DataFrame) -> DataFrame:
 
 
 def target_decoy_database(proteins: DataFrame, missed: int = 2, shortest: int = 7, longest: int = 35, method: str = "diann") -> DataFrame:
-    found = digest(proteins, missed, shortest, longest).select(F.col("peptide").alias("sequence")).distinct()
+    found = digest(proteins, missed, shortest, longest).select(F.col("peptide").alias("sequence"))
     return mass_index(decoys.append_decoys(found, method))
 
 
