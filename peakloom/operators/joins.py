@@ -45,6 +45,35 @@ def tolerance_join(
     return pairs.unionByName(keep, allowMissingColumns=True)
 
 
+def window_totals(targets: DataFrame, peaks: DataFrame, ppm: float, totals: list[str], target_mz: str = "target_mz", mz: str = "mz") -> DataFrame:
+    """Targets with the sums of ``totals`` over the peaks in their windows, without the pairs; targets without a peak go.
+
+    The window is that of ``tolerance_join``.  A window is two edges: the sum up to the upper one less the sum before the
+    lower one, where running sums start anew in every bin.  So rows grow with targets and peaks, not with their pairs.
+    Equal m/z of targets share one window, so that crowded ones meet only in the last join, which adaptive execution splits.
+    ``totals`` are whole numbers of 0 or more, not all of them 0 in a row.  Rows of null, NaN, no or negative m/z match
+    nothing."""
+    width = 2 * math.log1p(ppm / 1e6)
+    t = F.col("__target")
+    tol = t * ppm / 1e6
+    edge = lambda bin_of, at, kind, sign: F.struct(bin_of.alias("__bin"), at.alias("__at"), F.lit(kind).alias("__kind"), F.lit(sign).alias("__sign"))
+    first, last = _bin(t - tol, width), _bin(t + tol, width)
+    both = [edge(first, t - tol, 0, -1), edge(last, t + tol, 2, 1)]
+    # A window over several bins adds the whole of each bin but its last one.
+    whole = F.transform(F.sequence(first, last - 1), lambda b: edge(b, F.lit(float("inf")), 2, 1))
+    edges = F.when(first == last, F.array(*both)).otherwise(F.concat(F.array(*both), whole))
+    places = targets.select(F.col(target_mz).cast("double").alias("__target")).where((t > 0) & ~F.isnan(t)).distinct()
+    dealt = places.select("__target", F.explode(edges).alias("__edge")).select("__edge.*", "__target", *[F.lit(0).cast("long").alias(c) for c in totals])
+    m = F.col(mz)
+    own = peaks.where((m > 0) & ~F.isnan(m)).select(
+        _bin(m, width).alias("__bin"), m.cast("double").alias("__at"), F.lit(1).alias("__kind"), F.lit(0).alias("__sign"), F.lit(None).cast("double").alias("__target"), *[F.col(c).cast("long").alias(c) for c in totals]
+    )
+    running = W.partitionBy("__bin").orderBy("__at", "__kind").rowsBetween(W.unboundedPreceding, 0)
+    summed = own.unionByName(dealt).withColumns({c: F.sum(c).over(running) * F.col("__sign") for c in totals}).where("__sign <> 0")
+    found = summed.groupBy("__target").agg(*[F.sum(c).alias(c) for c in totals]).where(" OR ".join(f"`{c}` > 0" for c in totals))
+    return targets.join(found, F.col(target_mz).cast("double") == t).drop("__target")
+
+
 def match(targets: DataFrame, peaks: DataFrame, ppm: float, policy: str, key: list[str], target_mz: str = "target_mz", mz: str = "mz", peak_id: str = "peak_id", intensity: str = "intensity", where: Column | None = None, open_top: bool = False) -> DataFrame:
     """One peak for each target (by ``key``), chosen by ``policy``; targets without a peak are left out.
 

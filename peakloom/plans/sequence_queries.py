@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import H2O, ISOTOPE_SPACING, MASSES, MODIFICATIONS, PROTON
 from ..functions import decoys, isotopes, mass
 from ..operators import sequences
-from ..operators.joins import tolerance_join
+from ..operators.joins import window_totals
 from .views import Registry
 
 R = Registry()
@@ -67,9 +67,9 @@ _PRECURSORS = f"q AS (SELECT peak_id, CAST(2 + peak_id % 2 AS INTEGER) AS charge
 
 
 def _masses(v):
-    """Targets and decoys of each mass: peptides of one composition weigh the same, so they meet a precursor as one row."""
+    """A mass for each sequence, with 1 as a target or as a decoy."""
     db = sequences.target_decoy_database(v("v_proteins"), 0)
-    return db.groupBy(F.col("neutral_mass").alias("m")).agg(F.count(F.when(~F.col("is_decoy"), 1)).alias("targets"), F.count(F.when(F.col("is_decoy"), 1)).alias("decoys"))
+    return db.select(F.col("neutral_mass").alias("m"), (~F.col("is_decoy")).cast("long").alias("targets"), F.col("is_decoy").cast("long").alias("decoys"))
 
 
 def _precursors(v):
@@ -79,14 +79,14 @@ def _precursors(v):
 
 @R.add("mass_search_ppm", _UNION + f", n AS (SELECT is_decoy, {mass_sql('sequence')} AS m FROM db), {_PRECURSORS}:: SELECT peak_id, charge, count(*) AS n_candidates, count(*) FILTER (WHERE is_decoy) AS n_decoys FROM q JOIN n ON m BETWEEN mass - mass * 5.0 / 1e6 AND mass + mass * 5.0 / 1e6 GROUP BY ALL")
 def _(v, spark):
-    pairs = tolerance_join(_precursors(v), _masses(v), 5.0, "mass", "m")
-    return pairs.groupBy("peak_id", "charge").agg(F.sum(F.col("targets") + F.col("decoys")).alias("n_candidates"), F.sum("decoys").alias("n_decoys"))
+    per = window_totals(_precursors(v), _masses(v), 5.0, ["targets", "decoys"], "mass", "m")
+    return per.select("peak_id", "charge", (F.col("targets") + F.col("decoys")).alias("n_candidates"), F.col("decoys").alias("n_decoys"))
 
 
 @R.add("peptide_candidates", _UNION + f", n AS (SELECT is_decoy, {mass_sql('sequence')} AS m FROM db), {_PRECURSORS}:: SELECT charge, is_decoy, count(*) AS n_candidates, count(DISTINCT peak_id) AS n_precursors FROM q JOIN n ON m BETWEEN mass - mass * 5.0 / 1e6 AND mass + mass * 5.0 / 1e6 GROUP BY ALL")
 def _(v, spark):
-    per = tolerance_join(_precursors(v), _masses(v), 5.0, "mass", "m").groupBy("charge", "peak_id").agg(F.sum("targets").alias("t"), F.sum("decoys").alias("d"))
-    per = per.select("charge", F.explode(F.array(F.struct(F.lit(False).alias("is_decoy"), F.col("t").alias("k")), F.struct(F.lit(True).alias("is_decoy"), F.col("d").alias("k")))).alias("x")).select("charge", "x.*").where("k > 0")
+    per = window_totals(_precursors(v), _masses(v), 5.0, ["targets", "decoys"], "mass", "m")
+    per = per.select("charge", F.explode(F.array(F.struct(F.lit(False).alias("is_decoy"), F.col("targets").alias("k")), F.struct(F.lit(True).alias("is_decoy"), F.col("decoys").alias("k")))).alias("x")).select("charge", "x.*").where("k > 0")
     return per.groupBy("charge", "is_decoy").agg(F.sum("k").alias("n_candidates"), F.count(F.lit(1)).alias("n_precursors"))
 
 

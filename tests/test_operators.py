@@ -247,3 +247,22 @@ def test_rescoring_separates(spark):
     for got, score in ((rescoring.rf_rescore(own, trees=10, depth=4, rounds=1), "rf_score"), (rescoring.lda_rescore(own), "lda_score")):
         got = got.toPandas().set_index("psm_id").loc[frame.psm_id]
         assert got[score][good].mean() > got[score][decoy].mean() and (got.q_value <= 1).all()
+
+
+def test_window_totals_equal_the_pairs(spark):
+    """Edges, repeats, ties, nulls, NaN and clashing columns; the sums are those of all pairs."""
+    rng = np.random.default_rng(5)
+    near = 500 * (1 + rng.integers(-30, 31, 400) * 1e-6)
+    mzs = [*map(float, near), 500.0, 500.0, 500 - 500 * 5 / 1e6, 500 + 500 * 5 / 1e6, None, float("nan"), 0.0, -3.0]
+    peaks = spark.createDataFrame([(m, k % 3, 1) for k, m in enumerate(mzs)], "mz double, a long, b long")
+    wanted = [500.0, 500.0, *map(float, near[:50]), 900.0, None, float("nan"), 0.0, -500.0]
+    targets = spark.createDataFrame(list(enumerate(wanted)), "id int, target_mz double")
+    for ppm in (5.0, 20.0):
+        want = []
+        for k, t in enumerate(wanted):
+            if t is not None and t > 0:
+                hit = [(j % 3, 1) for j, m in enumerate(mzs) if m is not None and m > 0 and t - t * ppm / 1e6 <= m <= t + t * ppm / 1e6]
+                want += [(k, sum(x for x, _ in hit), len(hit))] if hit else []
+        assert rows(joins.window_totals(targets, peaks, ppm, ["a", "b"]).select("id", "a", "b"), "id") == want
+    assert joins.window_totals(targets, peaks.limit(0), 5.0, ["a", "b"]).count() == 0
+    assert joins.window_totals(targets.limit(0), peaks, 5.0, ["a", "b"]).columns == ["id", "target_mz", "a", "b"]
