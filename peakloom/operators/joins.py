@@ -65,7 +65,8 @@ def window_totals(targets: DataFrame, peaks: DataFrame, ppm: float, totals: list
     places = targets.select(F.col(target_mz).cast("double").alias("__target")).where((t > 0) & ~F.isnan(t)).distinct()
     dealt = places.select("__target", F.explode(edges).alias("__edge")).select("__edge.*", "__target", *[F.lit(0).cast("long").alias(c) for c in totals])
     m = F.col(mz)
-    own = peaks.where((m > 0) & ~F.isnan(m)).select(
+    # One condition that names m once: Catalyst moves it below the peaks' own expressions and would repeat them for each name.
+    own = peaks.where(F.ln(m) < F.lit(float("inf"))).select(
         _bin(m, width).alias("__bin"), m.cast("double").alias("__at"), F.lit(1).alias("__kind"), F.lit(0).alias("__sign"), F.lit(None).cast("double").alias("__target"), *[F.col(c).cast("long").alias(c) for c in totals]
     )
     running = W.partitionBy("__bin").orderBy("__at", "__kind").rowsBetween(W.unboundedPreceding, 0)
