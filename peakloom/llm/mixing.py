@@ -4,7 +4,7 @@ A document's rate is its source's target over its source's size, from 0 to 2.  I
 fraction is the inclusion probability of one more copy.  The cube method moves the fractions of a block of documents
 through the null space of two constraints (the copies' words and the number of copies), so that both totals stay as they
 are, until at most two documents of the block stay fractional.  Those go on to the next round's blocks of the same source,
-a few hundred times fewer each round, until each source has one last block.  Its flight leaves out ``RESERVE`` documents from the
+a few hundred times fewer each round, until the source has one last block, whatever other sources have.  Its flight leaves out ``RESERVE`` documents from the
 largest to the smallest, so that the landing problem (16 documents at most) has choices of every size; all of them are tried and the
 nearest to the target is taken.  A block has a bounded number of rows whatever its source's size.
 """
@@ -90,19 +90,18 @@ def land(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return p
 
 
-def _block(last: bool):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["name", "doc_id", "size"], na_position="first", kind="stable").drop(columns="block")
-        sizes, p = frame["size"].to_numpy(np.float64), frame["p"].to_numpy(np.float64).copy()
-        flying = np.arange(len(p))
-        if last:
-            n = min(len(p), RESERVE // 2)
-            spread = np.concatenate([np.geomspace(1, len(p), n), np.linspace(1, len(p), n)]).astype(np.int64) - 1
-            flying = np.setdiff1d(flying, np.argsort(-sizes, kind="stable")[spread])
-        p[flying] = flight(p[flying], sizes[flying], np.random.default_rng([SEED, int(frame["name"].iloc[0]) & 0xFFFFFFFF, len(frame)]))
-        return frame.assign(p=land(p, sizes) if last else p)
-
-    return run
+def _block(frame: pd.DataFrame) -> pd.DataFrame:
+    """Flies one block; where its source has no other, the fractions land as well."""
+    last = frame["blocks"].iloc[0] == 1
+    frame = frame.sort_values(["name", "doc_id", "size"], na_position="first", kind="stable").drop(columns=["block", "blocks"])
+    sizes, p = frame["size"].to_numpy(np.float64), frame["p"].to_numpy(np.float64).copy()
+    flying = np.arange(len(p))
+    if last:
+        n = min(len(p), RESERVE // 2)
+        spread = np.concatenate([np.geomspace(1, len(p), n), np.linspace(1, len(p), n)]).astype(np.int64) - 1
+        flying = np.setdiff1d(flying, np.argsort(-sizes, kind="stable")[spread])
+    p[flying] = flight(p[flying], sizes[flying], np.random.default_rng([SEED, int(frame["name"].iloc[0]) & 0xFFFFFFFF, len(frame)]))
+    return frame.assign(p=land(p, sizes) if last else p)
 
 
 def copies(sizes: DataFrame) -> DataFrame:
@@ -125,8 +124,7 @@ def copies(sizes: DataFrame) -> DataFrame:
             break
         dealt = loose.join(count.withColumnRenamed("source", "name_of"), F.col("source").eqNullSafe(F.col("name_of"))).drop("name_of")
         block = F.pmod(F.xxhash64(F.lit(SEED), "name"), F.col("blocks"))
-        dealt = dealt.withColumn("block", block).drop("blocks")
-        moved = checkpoint(dealt.groupBy("source", "block").applyInPandas(_block(most == 1), schema))
+        moved = checkpoint(dealt.withColumn("block", block).groupBy("source", "block").applyInPandas(_block, schema))
         done = done.unionByName(moved.where("p = 0 OR p = 1"))
         loose = moved.where("p > 0 AND p < 1")
         if most == 1:

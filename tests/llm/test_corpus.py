@@ -310,6 +310,18 @@ def test_mixing(spark):
     assert canon(again) == canon(got[again.columns.tolist()])
 
 
+def test_small_sources_beside_a_large_one(spark):
+    """A source of one block lands with its whole reserve while another source still has several blocks."""
+    rng = np.random.default_rng(7)
+    rows = [(k, "big", int(n)) for k, n in enumerate(rng.integers(1, 400, 5000))]
+    for j in range(20):
+        rows += [(10_000 + 100 * j + k, f"s{j:02}", int(n)) for k, n in enumerate([*rng.integers(1, 400, 40), *rng.integers(2000, 20_000, 10)])]
+    got = mixing.copies(spark.createDataFrame(rows, "doc_id long, source string, size long")).toPandas()
+    assert sorted(got.doc_id) == sorted(r[0] for r in rows) and got.copies.isin([0, 1, 2]).all()
+    for _, part in got.groupby("source"):
+        assert abs((part.copies * part["size"]).sum() / part.target.iloc[0] - 1) <= 0.01
+
+
 def test_flight_keeps_both_totals():
     rng = np.random.default_rng(2)
     sizes, p = rng.integers(1, 500, 400).astype(float), np.full(400, 0.37)
