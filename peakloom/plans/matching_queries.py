@@ -360,7 +360,8 @@ def _(v, spark):
 
 @R.add("coeluting_group", None)
 def _(v, spark):
-    refs = v("v_targets").join(v("v_peaks").select(F.col("peak_id").alias("pep_id"), F.col("scan").alias("ref_scan")), "pep_id").where("frag_id = 0").select(F.col("pep_id").alias("ref_id"), F.col("target_mz").alias("ref_mz"), "ref_scan")
+    ref_id = (F.col("frag_id") * 400 + F.col("pep_id")).alias("ref_id")  # every target is a reference of its own
+    refs = v("v_targets").join(v("v_peaks").select(F.col("peak_id").alias("pep_id"), F.col("scan").alias("ref_scan")), "pep_id").select(ref_id, F.col("target_mz").alias("ref_mz"), "ref_scan")
     return grouping.grouped_peaks(refs, v("v_peaks"), 100.0)
 
 

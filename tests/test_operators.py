@@ -266,3 +266,43 @@ def test_window_totals_equal_the_pairs(spark):
         assert rows(joins.window_totals(targets, peaks, ppm, ["a", "b"]).select("id", "a", "b"), "id") == want
     assert joins.window_totals(targets, peaks.limit(0), 5.0, ["a", "b"]).count() == 0
     assert joins.window_totals(targets.limit(0), peaks, 5.0, ["a", "b"]).columns == ["id", "target_mz", "a", "b"]
+
+
+def slow_group(ref_mz, ref_scan, peaks, ppm=100.0, reach=5, least=0.8):
+    """Ids of the peaks that co-elute with one reference; peaks: rows (peak_id, scan, mz, intensity) by id."""
+    inside = [p for p in peaks if abs(p[1] - ref_scan) <= reach]
+    near = [p for p in inside if ref_mz - ref_mz * 3 * ppm / 1e6 <= p[2] <= ref_mz + ref_mz * 3 * ppm / 1e6]
+    centers, left = [], list(near)
+    while left:
+        seed = left[0][2]
+        got = [p for p in left if abs(p[2] - seed) <= seed * 11 / 1e6]
+        centers.append(np.mean([p[2] for p in got]))
+        left = [p for p in left if p not in got]
+    traces = [{} for _ in centers]
+    for _, scan, mz, intensity in near:
+        off = [abs(mz - c) if abs(mz - c) <= c * 11 / 1e6 else np.inf for c in centers]
+        if min(off) < np.inf:
+            own = traces[int(np.argmin(off))]
+            own[scan] = own.get(scan, 0.0) + intensity
+    found = set()
+    for k, (c, own) in enumerate(zip(centers, traces)):
+        if not own or not traces[0]:
+            continue
+        norm = math.sqrt(sum(x * x for x in own.values()) * sum(x * x for x in traces[0].values()))
+        if k == 0 or sum(x * traces[0].get(s, 0.0) for s, x in own.items()) / norm >= least:
+            found |= {p[0] for p in inside if c - c * 11 / 1e6 <= p[2] <= c + c * 11 / 1e6}
+    return found
+
+
+def test_every_target_is_a_reference(spark, tmp_path):
+    from peakloom.plans import registry
+
+    rng = np.random.default_rng(3)
+    parts = [(k, (300.0 + 40 * (k % 7) + 0.01 * (k // 400)) / 1.37) for k in (*range(0, 12), *range(395, 412), *range(800, 806), 1201)]
+    orders = [(k, int(rng.integers(0, 600)), float(300 + 40 * rng.integers(0, 7) + rng.integers(-30, 31) * 0.004)) for k in range(400)]
+    spark.createDataFrame(parts, "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r.ref_id, r.peak_id) for r in registry.QUERIES["coeluting_group"](spark, str(tmp_path)).collect()}
+    peaks = [(k, c % 50, 200 + t % 1800, 100 + t * 13 % 9000) for k, c, t in orders]
+    want = {(k, p) for k, price in parts for p in slow_group(200 + price * 1.37 % 1800, peaks[k % 400][1], peaks)}
+    assert got == want and {k // 400 for k, _ in got} == {0, 1, 2, 3}
