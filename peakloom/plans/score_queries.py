@@ -222,7 +222,7 @@ def _rescored(v):
 
 @R.add("rf_rescore", None)
 def _(v, spark):
-    return rescoring.rf_rescore(_rescored(v), trees=20, depth=6, rounds=2)
+    return rescoring.rf_rescore(_rescored(v))
 
 
 @R.add("lda_rescore", None)

@@ -24,3 +24,12 @@ def test_no_nested_loops(spark):
     for name in ("band_nearest", "band_all", "xic_long", "isotope_simple", "mass_search_ppm"):
         plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_rescoring_fits_the_whole_forest(spark, monkeypatch):
+    from peakloom.operators import rescoring
+
+    made, real = [], rescoring.RandomForestClassifier
+    monkeypatch.setattr(rescoring, "RandomForestClassifier", lambda **k: made.append((k["numTrees"], k["maxDepth"])) or real(**k))
+    assert registry.QUERIES["rf_rescore"](spark, DATA).count() == 1000
+    assert made == [(200, 10)] * 3
