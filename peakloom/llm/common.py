@@ -7,6 +7,7 @@ Text crosses to Python as UTF-8 bytes (a ``binary`` column), never as ``str``: A
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a private one only where none is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """The folder that spark.checkpoint.dir names.  Where none is set, a folder of the warehouse, which a cluster shares;
+    a temporary one only if driver and executors are one local process."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="peakloom-"))
-    return spark.sparkContext.getCheckpointDir()
+        own = tempfile.mkdtemp(prefix="peakloom-") if context.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_peakloom"
+        context.setCheckpointDir(configured or own)
+    return context.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -37,6 +41,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage by a compressed table in the shared folder: smaller than a checkpoint, but typed columns only."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hash_share(rows: DataFrame, keys: list[str], wanted: int, total: int, seed: int = 29) -> DataFrame:
+    """Rows whose keys' hash lies in the share ``wanted / total`` of its range: all rows of a key or none, without a sort."""
+    if total <= wanted:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 32)) < int((1 << 32) * wanted / total))
+
+
+def split_join(rows: DataFrame, facts: DataFrame, keys: list[str], total: int, hot_rows: int = 20_000) -> DataFrame:
+    """``rows`` joined with ``facts`` (one row a key, with ``n``, the number of rows that have it) on ``keys``, without ``n``.
+
+    Keys that hold more than 1 / ``hot_rows`` of all ``total`` rows are ``hot_rows`` at most: their facts are broadcast, so
+    rows of hot keys stay where they are.  All others meet in a shuffle, where no key has more rows than that."""
+    hot = F.col("n") * hot_rows > total
+    few = F.broadcast(facts.where(hot).drop("n"))
+    return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(facts.where(~hot).drop("n"), keys))
+
+
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
