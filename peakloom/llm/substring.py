@@ -12,13 +12,13 @@ Consecutive windows with one key are a segment, about one for every 18 words, an
 one document has is no repeat.  Where all segments of a key have the same words (a 64-bit polynomial hash of them, beside
 the key), those of all but the smallest document go at once.  A key whose segments differ lies at the edge of a repeat: of
 each variant the smallest document's segment stands for the others, and its windows are verified one by one, again by a
-hash of their 50 words beside the key.  All groups are sums with map-side combining, joined back by shuffles that adaptive
-execution splits where a key is hot; no group of copies meets in one task.
+hash of their 50 words beside the key.  All groups are sums with map-side combining.  They are joined back by broadcast
+where a key is hot (a bounded number of keys can be) and by shuffle elsewhere; the windows' join is split by adaptive
+execution where a window is hot.  No group of copies meets in one task.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordNames, checkpoint, chunks, mixed, text_bytes, texts
+from .common import WordNames, chunks, mixed, split_join, stored, text_bytes, texts
 
 WINDOW, ROUNDS = 50, 3
 _LAST = (1 << 63) - 1  # a null doc_id comes after all others
@@ -161,19 +161,23 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     ``docs`` has id, print (a hash of the text) and text (bytes), and maybe more columns, which are kept in the text's
     shuffle so that a later join by id and print can use it again."""
-    parsed = checkpoint(docs.select("id", "print", "text").mapInArrow(_parse, f"id long, print long, segments {_SEGMENTS}"))
+    parsed = stored(docs.select("id", "print", "text").mapInArrow(_parse, f"id long, print long, segments {_SEGMENTS}"))
     rows = parsed.select("id", "print", F.explode("segments").alias("s")).select("id", "print", "s.*")
-    # a group-by right below a join would tie the join's partitions to its own and keep a hot key whole: hence checkpoints
-    shared = checkpoint(rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key"))
-    hits = checkpoint(rows.join(shared, "key"))
-    variants = checkpoint(hits.groupBy("key", "hash").agg(F.min("id").alias("least")))
-    edges = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    sided = hits.join(variants, ["key", "hash"])
-    stand = sided.where("id = least").join(edges, "key").groupBy("id", "print").agg(F.collect_list(F.struct("key", "span")).alias("segments"))
+    n = F.count(F.lit(1)).alias("n")
+    shared = stored(rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), n).where("a < z").select("key", "n"))
+    total = shared.agg(F.sum("n")).head()[0] or 0
+    hits = stored(split_join(rows, shared, ["key"], total))
+    variants = stored(hits.groupBy("key", "hash").agg(F.min("id").alias("least"), n))
+    edges = stored(variants.groupBy("key").agg(n).where("n > 1"))
+    sided = split_join(hits, variants, ["key", "hash"], total)
+    stand = split_join(sided.where("id = least"), edges, ["key"], total).groupBy("id", "print").agg(F.collect_list(F.struct("key", "span")).alias("segments"))
     windows = docs.join(stand, ["id", "print"]).select(*docs.columns, "segments").mapInArrow(_verify, f"id long, print long, windows {_WINDOWS}")
     each = windows.select("id", "print", F.explode("windows").alias("w")).select("id", "print", "w.*")
-    least = each.groupBy("key", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    single = each.join(least, ["key", "hash"]).where("id > least").select("id", "print", F.col("start").alias("low"), F.col("start").alias("high"))
+    # a group-by right below a join would tie the join's partitions to its own and keep a hot window whole: so the join's
+    # key is another column than the group's, and adaptive execution can split it
+    apart = F.col("hash").bitwiseXOR(F.lit(1))
+    least = each.groupBy("key", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", apart.alias("apart"), "least")
+    single = each.withColumn("apart", apart).join(least, ["key", "apart"]).where("id > least").select("id", "print", F.col("start").alias("low"), F.col("start").alias("high"))
     whole = sided.where("id > least").select("id", "print", F.shiftright("span", 32).cast("int").alias("low"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("high"))
     return whole.unionByName(single).groupBy("id", "print").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
@@ -202,7 +206,8 @@ def without_repeats(docs: DataFrame, *more: str) -> DataFrame:
 
     A window of 50 consecutive words is removed if its words also start in a document with a smaller doc_id.  Null texts
     have no words.  A null doc_id comes after all others; rows that share an id aren't smaller than each other, so a row
-    repeated as it is keeps its words.  Texts of fewer than 50 words keep all.  An empty table gives an empty result."""
+    repeated as it is keeps its words.  Texts of fewer than 50 words keep all; a long text is parsed whole, in one chunk.
+    Other columns of ``docs`` are not read, whatever their names.  An empty table gives an empty result."""
     rows = _prepared(docs, *more)
     joined = rows.join(repeats(rows), ["id", "print"], "left").select(*rows.columns, "ranges")
     kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
