@@ -1,17 +1,21 @@
 """License scans by canonical digest.
 
 A text is made canonical line by line (case, copyright lines, punctuation, equivalent spellings), its lines are joined and
-hashed, and the digest is looked up among those of known licences, which went through the same expression.  Whole texts are looked up, and so is each line, as
+hashed, and the digest is looked up among those of known licences, which went through the same expression.  Whole texts are joined with them, and each line is looked up as well, as
 notices mostly stand alone in a longer text.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Known digests may be broadcast up to so many; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+from .common import checkpoint
+
+#: Known digests are looked up in place up to so many; more are joined by a shuffle.
+INLINE_ROWS = 2000
 
 _COPYRIGHT = r"^[^a-z0-9]*(copyright[ \t]*(\(c\)|©|[0-9]|<|\[|by )|\(c\)|©|all rights reserved)"
 _BREAK = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F“”‘’–—•©]+"
@@ -21,20 +25,24 @@ SPELLINGS = (
     ("sublicence", "sublicense"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("organisation", "organization"),
     ("merchantibility", "merchantability"), ("favour", "favor"), ("cancelled", "canceled"), ("copyright owner", "copyright holder"), ("per cent", "percent"),
 )
-# Known licences and notices.
-KNOWN = {
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+# One-line notices.
+NOTICES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "MIT-notice": "Released under the MIT License.",
 }
+#: Titles that may stand above a licence whose own text has none.
+TITLES = {
+    "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License",
+    "ISC": "ISC License", "MIT": "MIT License", "Zlib": "zlib License",
+}
+
+
+def known_texts(folder: Path = Path(__file__).parent / "known") -> list[tuple[str, str]]:
+    """(license_id, text): the files of a folder, named by licence, each with its title as well where it has one; notices."""
+    whole = [(f.stem, f.read_text()) for f in sorted(folder.glob("*.txt"))]
+    return [*whole, *((name, f"{TITLES[name]}\n{text}") for name, text in whole if name in TITLES), *NOTICES.items()]
 
 
 def canonical_lines(text: Column) -> Column:
@@ -53,27 +61,37 @@ def canonical(lines: Column) -> Column:
     return F.array_join(lines, " ")
 
 
-def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
-    """(digest, license_id); of licences with equal canonical texts the first by name counts."""
-    rows = spark.createDataFrame(list(known.items()), "license_id string, text string")
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(digest, license_id); of licences with equal canonical texts the first by name counts.  Default: ``known_texts()``."""
+    rows = spark.createDataFrame(known_texts() if known is None else known, "license_id string, text string")
     return rows.groupBy(F.sha2(canonical(canonical_lines(F.col("text"))), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, canonical_sha256, license_id, notices) for every row.
+    """(doc_id, canonical_sha256, license_id, notices) for every row of ``docs`` (doc_id, text; others are not read).
 
     license_id: the licence that the whole text is, else null; notices: the licences that single lines are, sorted and
-    joined by commas (none: empty).  Null texts count as empty.  Repeated rows each get the same result."""
+    joined by commas (none: empty).  Null texts count as empty; a text of any length is made canonical once, as one value.
+    Repeated rows each get the same result.  An empty table gives an empty result; with no known licence nothing is found.
+
+    Up to ``INLINE_ROWS`` known digests are looked up among a text's line digests where the text is, so nothing is
+    exchanged; more are joined by shuffle, line by line."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical_lines(text).alias("kept"))
-    rows = rows.select("doc_id", F.sha2(canonical(F.col("kept")), 256).alias("canonical_sha256"), F.transform(F.array_distinct("kept"), lambda line: F.sha2(line, 256)).alias("lines"))
-    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    rows = rows.select("doc_id", F.sha2(canonical(F.col("kept")), 256).alias("digest"), F.transform(F.array_distinct("kept"), lambda line: F.sha2(line, 256)).alias("lines"))
+    few = known.select("digest", "license_id").limit(INLINE_ROWS + 1).collect()
+    if len(few) <= INLINE_ROWS:
+        names = F.create_map(*[F.lit(x) for r in few for x in (r["digest"], r["license_id"])]) if few else F.create_map(F.lit(""), F.lit(""))
+        found = F.transform(F.array_intersect("lines", F.lit([r["digest"] for r in few] or [""])), lambda d: F.element_at(names, d))
+        rows = rows.withColumn("notices", F.array_join(F.array_sort(F.array_distinct(found)), ","))
         known = F.broadcast(known)
-    lines = rows.select("canonical_sha256", "doc_id", F.explode("lines").alias("digest")).join(known, "digest")
-    notices = lines.groupBy("canonical_sha256", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("id")).agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
-    whole = rows.select("doc_id", "canonical_sha256").join(known.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left")
-    same = [whole["canonical_sha256"] == notices["canonical_sha256"], F.coalesce(whole["doc_id"], F.lit(-(1 << 63)).cast("long")) == notices["id"]]
-    return whole.join(notices, same, "left").select(whole["doc_id"], whole["canonical_sha256"], "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
+    else:
+        rows = checkpoint(rows.withColumn("row", F.xxhash64("digest", F.coalesce("doc_id", F.lit(0).cast("long")), F.col("doc_id").isNull())))
+        lines = rows.select("row", "digest", F.explode("lines").alias("line")).distinct().join(known.withColumnRenamed("digest", "line"), "line")
+        notices = lines.groupBy("row", "digest").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
+        rows = rows.join(notices, ["row", "digest"], "left")
+    whole = rows.join(known, "digest", "left")
+    return whole.select("doc_id", F.col("digest").alias("canonical_sha256"), "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def _lines_sql(text: str) -> str:
@@ -89,7 +107,7 @@ def _literal(x: str) -> str:
 
 
 SQL = f"""
-WITH given(license_id, t) AS (VALUES {", ".join(f"({_literal(k)}, {_literal(v)})" for k, v in KNOWN.items())}
+WITH given(license_id, t) AS (VALUES {", ".join(f"({_literal(k)}, {_literal(v)})" for k, v in known_texts())}
 ), known AS (SELECT digest, min(license_id) AS license_id FROM (SELECT license_id, sha256(array_to_string({_lines_sql("t")}, ' ')) AS digest FROM given) GROUP BY digest
 ), d AS (SELECT row_number() OVER () AS r, doc_id, {_lines_sql("coalesce(text, '')")} AS kept FROM documents
 ), lines AS (SELECT r, unnest(list_distinct(kept)) AS l FROM d
