@@ -3,8 +3,9 @@
 An archive is a run of Zstandard frames: first a skippable frame (magic 0x184D2A5D) with a dictionary built from the
 archive's own records, then one frame for each record.  Spark's text sink writes the files, so any Hadoop file system
 does and a lost executor's task is repeated whole: each row is one frame, and the line separator is an empty skippable
-frame, whose eight bytes are ASCII and which every reader of Zstandard passes over.  A file starts anew, with a dictionary
-of its own, after ``ARCHIVE_ROWS`` rows.
+frame, whose eight bytes are ASCII and which every reader of Zstandard passes over.  A file is one archive: it ends after
+``ARCHIVE_ROWS`` frames or ``ARCHIVE_BYTES`` of records, whichever comes first.  As the sink counts rows, an archive that
+bytes end is filled up with empty frames, eight bytes each.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from .common import chunks, shared_folder, text_bytes
 
 #: Smaller payloads are never revisits.
 REVISIT_BYTES = 1000
-#: Frames of a file, its dictionary's included.
-ARCHIVE_ROWS = 4096
+#: Frames of a file, its dictionary's included, and bytes of records after which an archive ends.
+ARCHIVE_ROWS, ARCHIVE_BYTES = 4096, 32 << 20
 #: A dictionary is built from so many of an archive's records at most, so many bytes of each, and has so many bytes.
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 200, 4096, 16_384
 LEVEL = 3
@@ -63,32 +64,36 @@ def record(row: dict) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + body + b"\r\n\r\n"
 
 
-def _frames(batches: Iterator[pa.RecordBatch], archive_rows: int) -> Iterator[pa.RecordBatch]:
-    """Archives of a task, one after the other: a dictionary frame, then a frame for each record."""
+def _frames(batches: Iterator[pa.RecordBatch], archive_rows: int, archive_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Archives of a task, one after the other: a dictionary frame, a frame for each record, and empty ones to fill up."""
     waiting: list[bytes] = []
 
-    def archive() -> pa.RecordBatch:
+    def archive(fill: bool) -> pa.RecordBatch:
         shared = dictionary(waiting)
         content = shared.as_bytes()
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         rows = [struct.pack("<II", DICTIONARY_MAGIC, len(content)) + content, *map(packer.compress, waiting)]
         waiting.clear()
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
+        return pa.RecordBatch.from_arrays([pa.array(rows + [b""] * (fill * (archive_rows - len(rows))), pa.binary())], ["value"])
 
+    size = 0
     for part in chunks(batches, "payload"):
         for row in part.to_pylist():
             waiting.append(record(row))
-            if len(waiting) == archive_rows - 1:
-                yield archive()
+            size += len(waiting[-1])
+            if len(waiting) == archive_rows - 1 or size >= archive_bytes:
+                yield archive(True)
+                size = 0
     if waiting:
-        yield archive()
+        yield archive(False)
 
 
-def write(pages: DataFrame, path: str, archive_rows: int = ARCHIVE_ROWS) -> None:
+def write(pages: DataFrame, path: str, archive_rows: int = ARCHIVE_ROWS, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Archives of ``pages`` (page_id, url, payload, payload_digest, refers_to) as files of the folder ``path``.
 
-    An empty table leaves a folder without records."""
-    rows = pages.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(lambda batches: _frames(batches, archive_rows), "value binary")
+    A task holds one archive's records at most, plus the payload that goes beyond its bound; a payload may be as large as
+    a binary value of Arrow, 2 GB.  An empty table leaves a folder without records."""
+    rows = pages.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(lambda batches: _frames(batches, archive_rows, archive_bytes), "value binary")
     sink = rows.select(F.col("value").cast("string").alias("value")).write.mode("errorifexists")
     sink.option("lineSep", EMPTY_FRAME.decode()).option("maxRecordsPerFile", archive_rows).option("compression", "none").text(path)
 
@@ -169,7 +174,11 @@ def deduplicated(pages: DataFrame) -> DataFrame:
 
 
 def archive(pages: DataFrame) -> DataFrame:
-    """Writes every page (page_id, url, html) to archives in the shared folder and reads them back; see ``read``."""
+    """Writes every page (page_id, url, html) to archives in the shared folder and reads them back; see ``read``.
+
+    The folder is the result's own storage and stays as long as the shared folder does; callers who want the archives
+    elsewhere, or gone, use ``write``, ``read`` and a path of theirs.  Extra columns of ``pages``, whatever their names,
+    are not read; see ``deduplicated`` for nulls, ties and repeated rows.  An empty table gives an empty result."""
     spark = pages.sparkSession
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4()}"
     write(deduplicated(pages), path)
@@ -177,6 +186,7 @@ def archive(pages: DataFrame) -> DataFrame:
 
 
 def report(pages: DataFrame) -> DataFrame:
+    """One row of facts for each archived record; see ``archive``."""
     return archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
