@@ -6,13 +6,16 @@ shard's suffix array gives the Burrows-Wheeler transform, held as a wavelet matr
 once through the matrix's ranks, and each occurrence is located by walking to a sampled suffix position.  Occurrences
 merge into spans of hit words.  Shards are cut from a task's own rows, so nothing is shuffled.
 
-The benchmark is a query set: it is cut into blocks of about ``BLOCK_BYTES`` of text, and each block is one more pass over
-the same rows in the same stage, so no broadcast is larger than a block whatever the benchmark's size.
+The benchmark is a query set.  Up to ``BLOCK_BYTES`` of it are broadcast as they are, and each worker numbers their windows
+once.  A larger benchmark is cut into blocks of that size; each block is a pass of its own that writes the rows it hits to
+the shared folder, and the passes' spans meet by row, so neither a worker, the driver nor a broadcast ever holds more than
+a block.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -21,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes, texts
+from .common import chunks, shared_folder, text_bytes, texts
 
 WINDOW = 8
-SHARD_BYTES, BLOCK_BYTES = 4 << 20, 32 << 20
+SHARD_BYTES, BLOCK_BYTES = 4 << 20, 4 << 20
 #: Every so many text positions have their suffix position kept.
 SAMPLE = 8
 
@@ -103,7 +106,7 @@ class FMIndex:
         alive = np.flatnonzero((patterns < len(self.first) - 1).all(axis=1))
         low, high = np.zeros(len(alive), dtype=np.int64), np.full(len(alive), self.wavelet.n, dtype=np.int64)
         for k in reversed(range(patterns.shape[1])):
-            symbol = patterns[alive, k]
+            symbol = patterns[alive, k].astype(np.int64)
             low = self.first[symbol] + self.wavelet.rank(symbol, low)
             high = self.first[symbol] + self.wavelet.rank(symbol, high)
             some = low < high
@@ -131,16 +134,20 @@ class Windows:
         self.vocabulary: dict[bytes, int] = {}
         self.items = sorted({name for name, _ in items})
         number = {name: k for k, name in enumerate(self.items)}
-        having: dict[tuple[int, ...], set[int]] = {}
-        for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words(text)]
-            for k in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
-                having.setdefault(tuple(ids[k : k + WINDOW]), set()).add(number[name])
+        tokens = [words(text) for _, text in items]
+        sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+        fresh = self.vocabulary
+        ids = np.fromiter((fresh.setdefault(w, len(fresh) + 2) for t in tokens for w in t), dtype=np.int32, count=int(sizes.sum()))
+        owner, start = np.array([number[name] for name, _ in items], dtype=np.int64), np.cumsum(sizes) - sizes
         self.by_length = []
-        for length in sorted({len(p) for p in having}):
-            own = [p for p in having if len(p) == length]
-            owners = [sorted(having[p]) for p in own]
-            self.by_length.append((np.array(own, dtype=np.int64), np.cumsum([0, *map(len, owners)]), np.array([x for o in owners for x in o], dtype=np.int64)))
+        for length in sorted(set(np.minimum(sizes[sizes > 0], WINDOW).tolist())):
+            own = np.flatnonzero((sizes == length) if length < WINDOW else (sizes >= WINDOW))
+            count = sizes[own] - length + 1
+            at = np.repeat(start[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            patterns, which = np.unique(np.lib.stride_tricks.sliding_window_view(ids, length)[at], axis=0, return_inverse=True)
+            pairs = np.unique(which.ravel() * len(self.items) + np.repeat(owner[own], count))
+            bounds = np.searchsorted(pairs, np.arange(len(patterns) + 1) * len(self.items))
+            self.by_length.append((patterns, bounds, pairs % len(self.items)))
         self.shortest = min((p.shape[1] for p, _, _ in self.by_length), default=0)
 
 
@@ -174,9 +181,12 @@ def search_shard(documents: list[list[bytes]], windows: Windows) -> tuple[np.nda
     return np.concatenate(starts), np.concatenate(ends), np.unique(np.concatenate(pairs))
 
 
-def _pass(windows) -> object:
+_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _pass(items) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Windows = windows.value
+        own = Windows(items.value)
         for part in chunks(batches, "text", SHARD_BYTES):
             documents = [words(t) for t in texts(part)]
             bounds = np.cumsum([0, *map(len, documents)])
@@ -184,48 +194,71 @@ def _pass(windows) -> object:
             edge = np.zeros(bounds[-1] + 1, dtype=np.int64)
             np.add.at(edge, starts, 1)
             np.add.at(edge, ends, -1)
-            before = part.column(part.schema.get_field_index("spans")).to_pylist()
-            for k, spans in enumerate(before):
-                for s in spans:
-                    edge[bounds[k] + s["start"]] += 1
-                    edge[bounds[k] + s["end"]] -= 1
-            covered = np.cumsum(edge)[:-1] > 0
-            items = [set(x) for x in part.column(part.schema.get_field_index("items")).to_pylist()]
-            for pair in pairs.tolist():
-                items[pair // len(own.items)].add(own.items[pair % len(own.items)])
-            spans = []
-            for k in range(len(documents)):
+            covered, spans = np.cumsum(edge)[:-1] > 0, [[] for _ in documents]
+            for k in np.unique(np.searchsorted(bounds, starts, "right") - 1).tolist():
                 turn = np.flatnonzero(np.diff(np.concatenate([[0], covered[bounds[k] : bounds[k + 1]].astype(np.int8), [0]])))
-                spans.append([{"start": a, "end": b} for a, b in turn.reshape(-1, 2).tolist()])
-            found = [
-                pa.array(np.diff(bounds), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-            ]
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], *found, *part.columns[5:]], part.schema.names)
+                spans[k] = [{"start": a, "end": b} for a, b in turn.reshape(-1, 2).tolist()]
+            found: list[list[str]] = [[] for _ in documents]
+            for pair in pairs.tolist():
+                found[pair // len(own.items)].append(own.items[pair % len(own.items)])
+            columns = [*part.columns, pa.array(np.diff(bounds), pa.int64()), pa.array(spans, _SPAN_TYPE), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "n_words", "spans", "items"])
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts words, and merges the spans of all passes."""
+    for part in chunks(batches, "text", SHARD_BYTES):
+        place, spans = part.schema.get_field_index("spans"), []
+        for own in part.column(place).to_pylist():
+            out: list[dict] = []
+            for s in sorted(own or [], key=lambda s: s["start"]):
+                if out and s["start"] <= out[-1]["end"]:
+                    out[-1]["end"] = max(out[-1]["end"], s["end"])
+                else:
+                    out.append(dict(s))
+            spans.append(out)
+        counts = pa.array([len(words(t)) for t in texts(part)], pa.int64())
+        items = pa.array([x or [] for x in part.column(place + 1).to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([*part.columns[:place], counts, pa.array(spans, _SPAN_TYPE), items], [*part.schema.names[:place], "n_words", "spans", "items"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, text binary, n_words, spans, items) for every row: hit word spans [start, end) and the items found,
-    with the columns ``more`` of ``docs`` beside them.
+    """(doc_id, text binary, the columns ``more`` of ``docs``, n_words, spans, items) for every row: hit word spans
+    [start, end) and the items found.
 
     A window is 8 consecutive words of an item; an item of fewer words, but not none, is one window.  Null texts have no
     words; a null item_id is named by the empty string; items that share an id count once; an empty benchmark hits
-    nothing.  A shard is at least one whole document, however long.
+    nothing.  A shard is at least one whole document, however long.  Repeated rows are searched like any others.  An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), text_bytes().alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).head()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
-    rows = docs.select("doc_id", text_bytes().alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_STATE).alias("spans"), F.array().cast("array<string>").alias("items"), *more)
+    rows = docs.select("doc_id", text_bytes().alias("text"), *more)
     kinds = dict(docs.dtypes)
-    schema = f"doc_id {kinds['doc_id']}, text binary, n_words long, spans {_STATE}, items array<string>" + "".join(f", `{c}` {kinds[c]}" for c in more)
+    base = f"doc_id {kinds['doc_id']}, text binary" + "".join(f", `{c}` {kinds[c]}" for c in more)
+    found = f", n_words long, spans {_STATE}, items array<string>"
+
+    def search(where, rows: DataFrame, schema: str) -> DataFrame:
+        own = spark.sparkContext.broadcast([(r["item_id"], bytes(r["text"])) for r in items.where(where).collect()])
+        return rows.mapInArrow(_pass(own), schema + found)
+
+    if blocks == 1:
+        return search(F.lit(True), rows, base)
+    path = f"{shared_folder(spark)}/leaks-{uuid.uuid4()}"
+    keys = [F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("id_hash"), F.xxhash64(F.lit(3), "text").alias("text_hash")]
+    own = docs.select(*keys, text_bytes().alias("text"))
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        windows = spark.sparkContext.broadcast(Windows([(r["item_id"], bytes(r["text"])) for r in own.collect()]))
-        rows = rows.mapInArrow(_pass(windows), schema)
-    return rows
+        hit = search(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block, own, "id_hash long, text_hash long, text binary")
+        hit.where(F.size("items") > 0).select("id_hash", "text_hash", "spans", "items").distinct().write.mode("append").parquet(path)
+    both = spark.read.schema(f"id_hash long, text_hash long, spans {_STATE}, items array<string>").parquet(path).groupBy("id_hash", "text_hash").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+    keyed = docs.select("doc_id", text_bytes().alias("text"), *more, *keys)
+    return keyed.join(both, ["id_hash", "text_hash"], "left").select(*rows.columns, "spans", "items").mapInArrow(_merged, base + found)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -251,7 +284,8 @@ def without_spans(text: bytes, spans: list[dict]) -> bytes:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents (doc_id, text, lang, source, n_chars) without leaks: those with windows of two items or more go, and from
-    those with windows of one the hit words are cut.  All others stay as they are, null texts included."""
+    those with windows of one the hit words are cut.  All others stay as they are, null texts and repeated rows included;
+    long texts are cut whole.  Other columns of ``docs`` are left out.  An empty table gives an empty result."""
     rows = leaks(docs.withColumn("missing", F.col("text").isNull()), benchmark, "lang", "source", "n_chars", "missing").where(F.size("items") < 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
