@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,16 +9,17 @@ from pyspark.sql import functions as F
 from ..constants import PROTON
 from ..functions.mass import correct_mz, ppm_error
 from .joins import tolerance_join
+from .windows import quantiles
 
 
 def mad_inliers(rows: DataFrame, value: str, threshold: float = 3.0) -> DataFrame:
     """Rows whose robust z-score is under ``threshold``; all of them if the spread is under 1e-6."""
-    center = rows.agg(F.median(value).alias("__m"))
-    own = rows.join(F.broadcast(center))
-    spread = own.agg(F.median(F.abs(F.col(value) - F.col("__m"))).alias("__s"))
-    own = own.join(F.broadcast(spread))
-    keep = (F.col("__s") < 1e-6) | (F.abs(F.col(value) - F.col("__m")) / (1.4826 * F.nullif(F.col("__s"), F.lit(0.0))) < threshold)
-    return own.where(keep).drop("__m", "__s")
+    (center,) = quantiles(rows, value, [0.5])
+    apart = F.abs(F.col(value) - F.lit(center).cast("double"))
+    (spread,) = quantiles(rows, apart, [0.5])
+    if spread is None or spread < 1e-6:
+        return rows.where(F.col(value).isNotNull())
+    return rows.where(apart / (1.4826 * spread) < threshold)
 
 
 def bin_count(n: int) -> int:
@@ -58,15 +57,15 @@ def fit_recalibration(rows: DataFrame) -> DataFrame:
     facts = inliers.agg(F.count(F.lit(1)), F.min("rt_sec"), F.max("rt_sec")).head()
     n, low, high = facts[0], facts[1], facts[2]
     if n < 10:
-        all_rows = own.agg(F.count(F.lit(1)), F.median("ppm"), F.stddev_pop("ppm")).head()
+        all_rows = (*own.agg(F.count(F.lit(1)), F.stddev_pop("ppm")).head(), *quantiles(own, "ppm", [0.5]))
         if not all_rows[0]:
             return spark.range(10).select(F.col("id").cast("int").alias("bin"), F.lit(0.0).alias("correction"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("rt_low"), F.lit(3600.0).alias("rt_high"), F.lit(10).alias("bins"), F.lit(20.0).alias("tolerance"))
-        return own.limit(1).select(F.lit(0).alias("bin"), F.lit(float(all_rows[1])).alias("correction"), F.lit(all_rows[0]).cast("long").alias("n"), F.lit(0.0).alias("rt_low"), F.lit(0.0).alias("rt_high"), F.lit(1).alias("bins"), F.lit(max(10.0, 2 * float(all_rows[2]))).alias("tolerance"))
+        return own.limit(1).select(F.lit(0).alias("bin"), F.lit(float(all_rows[2])).alias("correction"), F.lit(all_rows[0]).cast("long").alias("n"), F.lit(0.0).alias("rt_low"), F.lit(0.0).alias("rt_high"), F.lit(1).alias("bins"), F.lit(max(10.0, 2 * float(all_rows[1]))).alias("tolerance"))
     bins = bin_count(n)
     medians = inliers.groupBy(rt_bin(F.col("rt_sec"), low, high, bins).alias("bin")).agg(F.median("ppm").alias("correction"), F.count(F.lit(1)).alias("n"))
     table = spark.range(bins).select(F.col("id").cast("int").alias("bin")).join(medians, "bin", "left").fillna(0, ["n"])
     table = fill_bins(table).withColumns({"rt_low": F.lit(float(low)), "rt_high": F.lit(float(high)), "bins": F.lit(bins)})
-    after = apply_recalibration(inliers, table, "observed_mz").agg(F.percentile(F.abs(ppm_error(F.col("corrected_mz"), F.col("theoretical_mz"))), 0.95)).head()[0]
+    after = quantiles(apply_recalibration(inliers, table, "observed_mz"), F.abs(ppm_error(F.col("corrected_mz"), F.col("theoretical_mz"))), [0.95])[0]
     return table.withColumn("tolerance", F.lit(max(5.0, after + 2)))
 
 
@@ -88,7 +87,7 @@ def presearch_errors(precursors: DataFrame, least: int = 100, ladder: tuple[floa
     from the lower mass (``signed``: from the lower charge) and errors are relative to the median mass."""
     own = precursors.select("id", "charge", (F.col("mz") * F.col("charge") - F.col("charge") * PROTON).alias("mass"))
     other = own.toDF("id2", "charge2", "mass2")
-    median = own.agg(F.median("mass")).head()[0]
+    (median,) = quantiles(own, "mass", [0.5])
     for tolerance in ladder:
         pairs = tolerance_join(own, other, tolerance, "mass", "mass2", F.col("charge") != F.col("charge2"))
         pairs = pairs.where((F.col("mass2") > F.col("mass")) | ((F.col("mass2") == F.col("mass")) & (F.col("id2") > F.col("id"))))
@@ -101,7 +100,19 @@ def presearch_errors(precursors: DataFrame, least: int = 100, ladder: tuple[floa
     errors = pairs.select(((F.col("mass2") - F.col("mass")) * side / median * 1e6).alias("e"))
     inliers = mad_inliers(errors, "e")
     errors = inliers if inliers.count() > 10 else errors
-    return errors.agg(F.median("e").alias("median_ppm"), F.stddev_pop("e").alias("std_ppm"), F.greatest(F.lit(10.0), F.percentile(F.abs("e"), 0.95) + 5).alias("recommended_tolerance"), F.lit(n).cast("long").alias("n_pairs"), F.lit(tolerance).alias("tolerance_used"))
+    (center,), (wide,) = quantiles(errors, "e", [0.5]), quantiles(errors, F.abs("e"), [0.95])
+    return errors.agg(F.lit(center).alias("median_ppm"), F.stddev_pop("e").alias("std_ppm"), F.lit(max(10.0, wide + 5)).alias("recommended_tolerance"), F.lit(n).cast("long").alias("n_pairs"), F.lit(tolerance).alias("tolerance_used"))
+
+
+def recalibration_statistics(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """One row: the calibration's bins and range, its tolerance, and the inliers' median and spread of errors before and
+    after it.  rows: observed_mz, theoretical_mz, rt_sec; table: ``fit_recalibration``."""
+    own = mad_inliers(rows.withColumn("ppm", ppm_error(F.col("observed_mz"), F.col("theoretical_mz"))), "ppm")
+    after = apply_recalibration(own, table, "observed_mz").withColumn("after", ppm_error(F.col("corrected_mz"), F.col("theoretical_mz")))
+    facts = table.agg(F.max("bins").alias("n_bins"), F.max("tolerance").alias("recommended_tolerance"), F.max("rt_low").alias("rt_min"), F.max("rt_high").alias("rt_max"))
+    (m0,), (m1,) = quantiles(own, "ppm", [0.5]), quantiles(after, "after", [0.5])
+    spread = after.agg(F.lit(m0).alias("median_ppm_before"), F.stddev_pop("ppm").alias("std_ppm_before"), F.lit(m1).alias("median_ppm_after"), F.stddev_pop("after").alias("std_ppm_after"))
+    return facts.join(F.broadcast(spread))
 
 
 # Retention time: pairs (run_id, irt, rt_sec); every step is a window inside one run.
@@ -189,21 +200,3 @@ def predict_rt(rows: DataFrame, model: DataFrame) -> DataFrame:
     inside = found.withColumns({c: F.col(f"__s.{c}") for c in ("x0", "x1", "y0", "y1", "m0", "m1")})
     value = F.when(F.col("first").isNull(), float("nan")).when(F.col("segments").isNull(), F.col("first.rt_sec")).when(F.col("__s").isNotNull(), hermite(x)).when(x < lo["x0"], lo["y0"] + F.col("low_slope") * (x - lo["x0"])).otherwise(hi["y1"] + F.col("high_slope") * (x - hi["x1"]))
     return inside.withColumn("predicted", value).select(*rows.columns, "predicted")
-
-
-def pchip_reference(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The same segments evaluated on arrays, for tests and small driver-side use."""
-    d = np.diff(y) / np.diff(x)
-    h, m = np.diff(x), np.zeros(len(x))
-    for k in range(1, len(x) - 1):
-        if d[k - 1] * d[k] > 0:
-            w1, w2 = 2 * h[k] + h[k - 1], h[k] + 2 * h[k - 1]
-            m[k] = (w1 + w2) / (w1 / d[k - 1] + w2 / d[k])
-    for k, (h0, h1, d0, d1) in ((0, (h[0], h[1], d[0], d[1])), (-1, (h[-1], h[-2], d[-1], d[-2]))):
-        e = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
-        m[k] = 0 if np.sign(e) != np.sign(d0) else 3 * d0 if np.sign(d0) != np.sign(d1) and abs(e) > 3 * abs(d0) else e
-    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
-    frame = pd.DataFrame({"x0": x[k], "x1": x[k + 1], "y0": y[k], "y1": y[k + 1], "m0": m[k], "m1": m[k + 1]})
-    t = (at - frame.x0) / (frame.x1 - frame.x0)
-    width = frame.x1 - frame.x0
-    return ((2 * t**3 - 3 * t**2 + 1) * frame.y0 + (t**3 - 2 * t**2 + t) * width * frame.m0 + (3 * t**2 - 2 * t**3) * frame.y1 + (t**3 - t**2) * width * frame.m1).to_numpy()

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.isotopes import pearson
 from .joins import tolerance_join
-from .windows import runs
+from ..params import FWHM_SIGMA
+from .windows import quantiles, runs
+
+
+#: Quadrupole centres of a profile at most: two decimals over the widest window.
+MOST_CENTERS = 10_000
 
 
 def xic(targets: DataFrame, peaks: DataFrame, ppm: float = 10.0) -> DataFrame:
@@ -62,7 +67,11 @@ def q1_profile(fragments: DataFrame, spectra: DataFrame, peaks: DataFrame, precu
     scan_id, mz, intensity; fragments: frag_id, target_mz."""
     near = spectra.where((F.col("q1_center") >= precursor_mz - q1_window) & (F.col("q1_center") <= precursor_mz + q1_window))
     near = near.withColumn("q1", (F.rint(F.col("q1_center") * 100) / 100).cast("float"))
-    grid = fragments.select("frag_id").join(near.select("q1").distinct())  # two small lists: a dense output is asked for
+    centers = near.select("q1").distinct().limit(MOST_CENTERS + 1).collect()
+    if len(centers) > MOST_CENTERS:
+        raise ValueError(f"more than {MOST_CENTERS} quadrupole centres in reach")
+    # a dense output is asked for: each fragment has a row at every centre
+    grid = fragments.select("frag_id", F.explode(F.lit([r["q1"] for r in centers]).cast("array<float>")).alias("q1"))
     in_time = near.where(F.abs(F.col("rt_sec") - rt) <= rt_window).select("scan_id", "q1")
     hits = tolerance_join(fragments, peaks.join(in_time, "scan_id"), ppm).groupBy("frag_id", "q1").agg(F.sum("intensity").alias("intensity"))
     return grid.join(hits, ["frag_id", "q1"], "left").fillna(0.0, ["intensity"])
@@ -188,7 +197,7 @@ def kernel_shape(profile: DataFrame, key: str, flat: float = 0.9) -> DataFrame:
 
 
 def learn_kernel(shapes: DataFrame, expected: float, least: int = 3) -> DataFrame:
-    """One row (fwhm, offset, fwhm_std, offset_std, n_profiles, kernel_type, flat_top_width) from ``kernel_shape`` rows.
+    """One row (fwhm, sigma, offset, fwhm_std, offset_std, n_profiles, kernel_type, flat_top_width) from ``kernel_shape`` rows.
 
     Medians, and interquartile ranges over 1.35; a trapezoid if over 30 % of profiles have a flat top whose median is over
     a fifth of the width.  Raises ValueError below three profiles with a width."""
@@ -196,7 +205,11 @@ def learn_kernel(shapes: DataFrame, expected: float, least: int = 3) -> DataFram
     if own.where("fwhm > 0").limit(3).count() < 3:
         raise ValueError("fewer than 3 valid profiles")
     wide, off, flat = F.when(F.col("fwhm") > 0, F.col("fwhm")), F.col("center") - expected, F.when(F.col("flat_top") > 0, F.col("flat_top"))
-    spread = lambda c: (F.percentile(c, 0.75) - F.percentile(c, 0.25)) / 1.35
-    facts = own.agg(F.median(wide).alias("fwhm"), F.median(off).alias("offset"), spread(wide).alias("fwhm_std"), spread(off).alias("offset_std"), F.count(wide).alias("n_profiles"), F.count(flat).alias("__n"), F.median(flat).alias("__f"))
-    trapezoid = (F.col("__n") > F.col("n_profiles") * 0.3) & (F.col("__f") > F.col("fwhm") * 0.2)
-    return facts.select("fwhm", "offset", "fwhm_std", "offset_std", "n_profiles", F.when(trapezoid, "trapezoid").otherwise("gaussian").alias("kernel_type"), F.when(trapezoid, F.col("__f")).otherwise(0.0).alias("flat_top_width"))
+    (width,), (offset,), (flat_width,) = quantiles(own, wide, [0.5]), quantiles(own, off, [0.5]), quantiles(own, flat, [0.5])
+    spread = lambda c: (lambda q: (q[1] - q[0]) / 1.35)(quantiles(own, c, [0.25, 0.75]))
+    facts = own.agg(F.lit(width).alias("fwhm"), F.lit(offset).alias("offset"), F.lit(spread(wide)).alias("fwhm_std"), F.lit(spread(off)).alias("offset_std"), F.count(wide).alias("n_profiles"), F.count(flat).alias("__n"))
+    trapezoid = (F.col("__n") > F.col("n_profiles") * 0.3) & (F.coalesce(F.lit(flat_width).cast("double"), F.lit(0.0)) > F.col("fwhm") * 0.2)
+    return facts.select(
+        "fwhm", (F.col("fwhm") / FWHM_SIGMA).alias("sigma"), "offset", "fwhm_std", "offset_std", "n_profiles", F.when(trapezoid, "trapezoid").otherwise("gaussian").alias("kernel_type"),
+        F.when(trapezoid, F.lit(flat_width).cast("double")).otherwise(0.0).alias("flat_top_width"),
+    )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,3 +22,55 @@ def longest_run(rows: DataFrame, keys: list[str], value: str, out: str) -> DataF
     own = rows.select(*keys, value).withColumn("__gap", gap).withColumn("__n", F.row_number().over(w))
     own = own.withColumn("run", F.sum(F.when(F.coalesce(F.col("__gap"), F.lit(0)) == 1, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
     return own.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("__len")).groupBy(*keys).agg(F.max("__len").alias(out))
+
+
+def bounds(rows: DataFrame, value: str, ranges: int) -> list[float]:
+    """At most ``ranges`` - 1 bounds that cut ``value`` into ranges of about as many rows each: approximate quantiles."""
+    if ranges < 2:
+        return []
+    found = rows.select(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], max(1000, 10 * ranges))).head()
+    return sorted({float(x) for x in (found[0] or [])})
+
+
+def range_of(value: Column, cuts: list[float]) -> Column:
+    """How many of the sorted ``cuts`` are at or below ``value``: a binary search, so many cuts cost little."""
+    if not cuts:
+        return F.lit(0)
+    steps = F.lit([1 << b for b in reversed(range(len(cuts).bit_length()))])
+    table = F.lit(cuts)
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= len(cuts)) & (F.element_at(table, F.least(n + s, F.lit(len(cuts)))) <= value), n + s).otherwise(n))
+
+
+#: Rows up to which quantiles are one exact aggregation, whose task holds every distinct value.
+EXACT_ROWS = 1_000_000
+
+
+def quantiles(rows: DataFrame, value: Column | str, shares: list[float]) -> list[float | None]:
+    """Exact interpolated quantiles (a median is share 0.5); None without values.  Nulls and NaN are left out.
+
+    Beyond ``EXACT_ROWS`` no task holds all values: an approximate quantile on either side brackets each wanted rank, rows
+    below the bracket are counted, and only the few distinct values inside are put in order."""
+    own = rows.select((F.col(value) if isinstance(value, str) else value).cast("double").alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v)")
+    n = own.count()
+    if n <= EXACT_ROWS:
+        found = own.agg(F.percentile("__v", F.lit([float(s) for s in shares]))).head()[0]
+        return [None] * len(shares) if found is None else [float(x) for x in found]
+    slack, out = 5e-4, []
+    for share in shares:
+        low, high = own.select(F.percentile_approx("__v", [max(0.0, share - slack), min(1.0, share + slack)], 10_000)).head()[0]
+        place = share * (n - 1)
+        first, last = int(place), min(n - 1, int(place) + 1)
+        before = own.where(F.col("__v") < low).count()
+        inside = own.where(F.col("__v").between(low, high)).groupBy("__v").agg(F.count(F.lit(1)).alias("c")).withColumn("z", F.sum("c").over(W.orderBy("__v")))
+        wanted = [float(inside.where(F.col("z") > rank - before).agg(F.min("__v")).head()[0]) for rank in sorted({first, last})]
+        out.append(wanted[0] + (wanted[-1] - wanted[0]) * (place - first))
+    return out
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Names a checkpoint folder where none is set: that of the session's settings, else one of the warehouse, which a
+    cluster shares; a temporary one only if driver and executors are one local process."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        own = tempfile.mkdtemp(prefix="peakloom-") if context.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_peakloom"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
