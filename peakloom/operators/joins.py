@@ -22,27 +22,41 @@ def _bin(mz: Column, width: float) -> Column:
 
 
 def tolerance_join(
-    targets: DataFrame, peaks: DataFrame, ppm: float, target_mz: str = "target_mz", mz: str = "mz", where: Column | None = None, how: str = "inner", open_top: bool = False
+    targets: DataFrame, peaks: DataFrame, tolerance: float, target_mz: str = "target_mz", mz: str = "mz", where: Column | None = None, how: str = "inner", open_top: bool = False, unit: str = "ppm"
 ) -> DataFrame:
-    """All pairs with target - tol <= mz <= target + tol, tol = target * ppm / 1e6 (``open_top``: mz < target + tol).
+    """All pairs with target - tol <= mz <= target + tol (``open_top``: mz < target + tol).
 
-    Columns of both sides must differ in name.  ``where`` is a further condition of a pair; ``how="left"`` keeps targets
-    without a pair.  Targets of no or negative m/z match nothing."""
-    width = 2 * math.log1p(ppm / 1e6)
+    ``unit``: "ppm", tol = target * tolerance / 1e6, or "Da", tol = tolerance.  Columns of both sides must differ in name.
+    ``where`` is a further condition of a pair; ``how="left"`` keeps targets without a pair, nulls in any column
+    included.  Targets of no or negative m/z match nothing."""
+    if how not in ("inner", "left") or unit not in ("ppm", "Da"):
+        raise ValueError(f"how is 'inner' or 'left', unit 'ppm' or 'Da'; not {how!r}, {unit!r}")
     t = F.col(target_mz)
-    tol = t * ppm / 1e6
+    if unit == "ppm":
+        width = 2 * math.log1p(tolerance / 1e6)
+        tol, bin_of = t * tolerance / 1e6, lambda x: _bin(x, width)
+        low, high = (t - tol) * (1 - 1e-12), (t + tol) * (1 + 1e-12)
+    else:
+        tol, bin_of = F.lit(float(tolerance)), lambda x: F.floor(x / (2 * tolerance)).cast("long")
+        low, high = F.greatest(t - tol, F.lit(1e-12)), t + tol
+    bins = F.when(t > 0, F.array_distinct(F.array(bin_of(low), bin_of(high)))).otherwise(F.array().cast("array<bigint>"))
     low, high = t - tol, t + tol
-    bins = F.when(t > 0, F.array_distinct(F.array(_bin(low * (1 - 1e-12), width), _bin(high * (1 + 1e-12), width)))).otherwise(F.array().cast("array<bigint>"))
+    if how == "left":  # a row without any bin still has one place, which no peak is dealt to
+        bins = F.when(F.size(bins) > 0, bins).otherwise(F.array(F.lit(None).cast("bigint")))
+        targets = targets.withColumn("__row", F.monotonically_increasing_id())
     dealt = targets.withColumn("__bin", F.explode(bins))
-    own = peaks.where(F.col(mz) > 0).withColumn("__peak_bin", _bin(F.col(mz), width))
+    own = peaks.where(F.col(mz) > 0).withColumn("__peak_bin", bin_of(F.col(mz)))
     inside = (F.col(mz) >= low) & ((F.col(mz) < high) if open_top else (F.col(mz) <= high))
     condition = (F.col("__bin") == F.col("__peak_bin")) & inside
     pairs = dealt.join(own, condition if where is None else condition & where).drop("__bin", "__peak_bin")
     if how == "inner":
         return pairs
-    names = targets.columns
-    keep = targets.join(pairs.select(*names).distinct(), names, "left_anti")
-    return pairs.unionByName(keep, allowMissingColumns=True)
+    # one evaluation of the pairs: each place of a target keeps its row, and of a target's unmatched places all go but one
+    both = dealt.join(own.withColumn("__hit", F.lit(True)), condition if where is None else condition & where, "left")
+    of_target = W.partitionBy("__row")
+    both = both.withColumns({"__any": F.max("__hit").over(of_target), "__first": F.row_number().over(of_target.orderBy("__bin"))})
+    keep = F.col("__hit").isNotNull() | (F.col("__any").isNull() & (F.col("__first") == 1))
+    return both.where(keep).drop("__bin", "__peak_bin", "__row", "__hit", "__any", "__first")
 
 
 def window_totals(targets: DataFrame, peaks: DataFrame, ppm: float, totals: list[str], target_mz: str = "target_mz", mz: str = "mz") -> DataFrame:
@@ -75,29 +89,40 @@ def window_totals(targets: DataFrame, peaks: DataFrame, ppm: float, totals: list
     return targets.join(found, F.col(target_mz).cast("double") == t).drop("__target")
 
 
-def match(targets: DataFrame, peaks: DataFrame, ppm: float, policy: str, key: list[str], target_mz: str = "target_mz", mz: str = "mz", peak_id: str = "peak_id", intensity: str = "intensity", where: Column | None = None, open_top: bool = False) -> DataFrame:
+def match(
+    targets: DataFrame, peaks: DataFrame, tolerance: float, policy: str, key: list[str], target_mz: str = "target_mz", mz: str = "mz", peak_id: str = "peak_id",
+    intensity: str = "intensity", where: Column | None = None, open_top: bool = False, unit: str = "ppm", ratio_to: str = "target_intensity", most_ratio: float = 1.5,
+) -> DataFrame:
     """One peak for each target (by ``key``), chosen by ``policy``; targets without a peak are left out.
 
     nearest: least absolute difference, then lowest id.  leftmost: lowest m/z, then lowest id.  neighbor: least absolute
     ppm; of equal ones the lower m/z; of equal m/z below the target the highest id, else the lowest.  most_intense: highest
-    intensity above 0, then lowest id.  all: every pair."""
-    pairs = tolerance_join(targets, peaks, ppm, target_mz, mz, where, open_top=open_top)
-    t, m, i = F.col(target_mz), F.col(mz), F.col(peak_id)
-    error = F.abs(m - t)
+    intensity above 0, then lowest id.  best_ratio: highest ratio of the peak's intensity to the target's column
+    ``ratio_to``, above 0 and up to ``most_ratio``, then lowest m/z, then lowest id; its windows are open at the top.
+    all: every pair.
+
+    The best of a target's pairs is a maximum, so pairs are combined before they are exchanged."""
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy {policy!r}; one of {POLICIES}")
+    pairs = tolerance_join(targets, peaks, tolerance, target_mz, mz, where, open_top=open_top or policy == "best_ratio", unit=unit)
     if policy == "all":
         return pairs
+    t, m, i = F.col(target_mz), F.col(mz), F.col(peak_id)
+    ratio = F.col(intensity) / F.nullif(F.col(ratio_to), F.lit(0)) if policy == "best_ratio" else None
     if policy == "most_intense":
         pairs = pairs.where(F.col(intensity) > 0)
-    order = {
-        "nearest": [error, i],
+    if policy == "best_ratio":
+        pairs = pairs.where((ratio > 0) & (ratio <= most_ratio))
+    least = {
+        "nearest": [F.abs(m - t), i],
         "leftmost": [m, i],
         "neighbor": [F.abs((m - t) / t * 1e6), m, F.when(m < t, -i).otherwise(i)],
-        "most_intense": [F.col(intensity).desc(), i],
-    }
-    if policy not in order:
-        raise ValueError(f"unknown policy {policy!r}; one of {POLICIES}")
-    rank = F.row_number().over(W.partitionBy(*key).orderBy(*order[policy]))
-    return pairs.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+        "most_intense": [-F.col(intensity), i],
+        "best_ratio": [-ratio, m, i] if ratio is not None else [],
+    }[policy]
+    order = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(least)])
+    own = [F.col(k).alias(f"__k_{k}") for k in key]
+    return pairs.groupBy(*own).agg(F.min_by(F.struct(*pairs.columns), order).alias("__best")).select("__best.*")
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, point: str, start: str, stop: str, width: float) -> DataFrame:
