@@ -29,6 +29,18 @@ def peptides(digested: DataFrame) -> DataFrame:
     return own.groupBy("sequence").agg(F.array_sort(F.collect_list("protein_id")).alias("proteins"), F.sum("n").alias("n_occurrences"))
 
 
+def digest_proteins(proteins: DataFrame, missed: int = 2, shortest: int = 7, longest: int = 35) -> tuple[DataFrame, DataFrame]:
+    """(peptides, proteins): ``peptides`` of the digest, and (protein_id, description, gene, length, n_peptides) of every
+    protein; n_peptides counts distinct peptides.
+
+    ``proteins``: protein_id, sequence and maybe description; a missing description is empty, and so is its gene."""
+    found = digest(proteins, missed, shortest, longest)
+    text = F.coalesce("description", F.lit("")) if "description" in proteins.columns else F.lit("")
+    n = found.select("protein_id", "peptide").distinct().groupBy("protein_id").agg(F.count(F.lit(1)).alias("n_peptides"))
+    facts = proteins.select("protein_id", text.alias("description"), gene_name(text).alias("gene"), F.char_length("sequence").alias("length"))
+    return peptides(found), facts.join(n, "protein_id", "left").fillna(0, ["n_peptides"])
+
+
 def gene_name(description: Column) -> Column:
     return F.regexp_extract(description, "GN=([^ ]*)", 1)
 
@@ -40,8 +52,14 @@ def mass_index(sequences: DataFrame) -> DataFrame:
 
 
 def target_decoy_database(proteins: DataFrame, missed: int = 2, shortest: int = 7, longest: int = 35, method: str = "diann") -> DataFrame:
+    """Distinct tryptic peptides and their decoys with masses and lengths.
+
+    A mass is computed once for each target; a decoy of the same residues carries it along."""
     found = digest(proteins, missed, shortest, longest).select(F.col("peptide").alias("sequence"))
-    return mass_index(decoys.append_decoys(found, method))
+    if method in decoys.CHANGES_MASS:
+        return mass_index(decoys.append_decoys(found, method))
+    weighed = found.distinct().withColumn("neutral_mass", mass.neutral_mass(F.col("sequence")))
+    return decoys.append_decoys(weighed, method, carry="neutral_mass").withColumns({"sequence_il": F.translate("sequence", "I", "L"), "length": F.char_length("sequence")})
 
 
 def fragments(sequences: DataFrame, charges: tuple[int, ...] = (1, 2), types: tuple[str, ...] = ("b", "y"), modifications: Column | None = None) -> DataFrame:

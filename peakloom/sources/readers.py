@@ -8,6 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import MASSES
 from ..functions import decoys
 from ..operators.sequences import gene_name, mass_index, target_decoy_database
 
@@ -61,12 +62,18 @@ def lookup_predictions(psms: DataFrame, library: DataFrame) -> DataFrame:
     return psms.select("psm_id", "sequence", "charge").join(library, ["sequence", "charge"])
 
 
-def cache_key(params: dict, sources: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(json.dumps([params, sorted(sources)], sort_keys=True).encode()).hexdigest()[:16]
+def residue_hash(masses: dict[str, float] = MASSES) -> str:
+    """Tells one table of residue masses from another."""
+    return hashlib.sha256(json.dumps(sorted(masses.items())).encode()).hexdigest()[:12]
+
+
+def cache_key(params: dict, sources: list[tuple[str, int, int]], masses: dict[str, float] = MASSES) -> str:
+    return hashlib.sha256(json.dumps([params, sorted(sources), residue_hash(masses)], sort_keys=True).encode()).hexdigest()[:16]
 
 
 def cached_index(spark: SparkSession, paths: list[str], folder: str, **params) -> DataFrame:
-    """The target-decoy index of FASTA files, kept as Parquet below ``folder`` under a key of parameters, sizes and times."""
+    """The target-decoy index of FASTA files, kept as Parquet below ``folder`` under a key of
+    parameters, residue masses, sizes and times."""
     files = spark.read.format("binaryFile").load(paths).select("path", "length", F.unix_millis("modificationTime").alias("t")).collect()
     target = f"{folder}/{cache_key(params, [(r['path'], r['length'], r['t']) for r in files])}"
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(target + "/_SUCCESS")
