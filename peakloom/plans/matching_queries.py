@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..constants import AVERAGINE, C13_DOUBLE, H2O, ISOTOPE_SPACING, NH3, PROTON, S34_SPACING
 from ..functions import quality
 from ..functions.isotopes import cosine_of, pearson_of
-from ..operators import features, grouping, profiles, psm, search
+from ..operators import features, grouping, matching, profiles, psm, search
 from ..operators.joins import match, tolerance_join
 from ..params import Consolidation, FeatureFinding, IsotopeGrouping
 from .sequence_queries import FRAGMENTS, item_fragments
@@ -44,11 +44,61 @@ def _(v, spark):
 
 @R.add("band_rt_post", f"{_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY pep_id, frag_id ORDER BY mz, peak_id) AS k FROM pairs), m AS (SELECT *, row_number() OVER (PARTITION BY pep_id ORDER BY frag_id) AS n FROM r WHERE k = 1 AND abs(rt_sec - 300) <= 200):: SELECT pep_id, frag_id, peak_id, abs(rt_sec - 300.0) AS rt_diff FROM m WHERE n <= 50", "rt_diff")
 def _(v, spark):
-    from pyspark.sql import Window as W
+    return matching.candidate_matches(v("v_targets"), v("v_peaks"), "pep_id", "frag_id", 300.0, 200.0, 20.0).select(*_T, "peak_id", "rt_diff")
 
-    got = match(v("v_targets"), v("v_peaks"), 20.0, "leftmost", _T).where(F.abs(F.col("rt_sec") - 300) <= 200)
-    got = got.withColumn("n", F.row_number().over(W.partitionBy("pep_id").orderBy("frag_id"))).where("n <= 50")  # the operator's match limit
-    return got.select(*_T, "peak_id", F.abs(F.col("rt_sec") - 300).alias("rt_diff"))
+
+_NEAREST = f"{_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY pep_id, frag_id ORDER BY {_ORDERS['nearest']}) AS k FROM pairs)"
+
+
+@R.add("fragment_match", f"{_NEAREST}, m AS (SELECT pep_id, frag_id, peak_id, mz AS observed_mz, intensity AS observed_intensity, (mz - target_mz) / target_mz * 1e6 AS mass_error_ppm FROM r WHERE k = 1 AND intensity >= 2000):: SELECT pep_id, frag_id, coalesce(peak_id, -1) AS peak_id, observed_mz, observed_intensity, mass_error_ppm FROM v_targets LEFT JOIN m USING (pep_id, frag_id)", "observed_mz observed_intensity mass_error_ppm")
+def _(v, spark):
+    return matching.fragment_matches(v("v_targets"), v("v_peaks"), _T, 20.0, 2000.0, unmatched=True)
+
+
+@R.add("fragment_coelution", f"{_NEAREST}:: SELECT pep_id, frag_id, peak_id, mz AS observed_mz, intensity AS observed_intensity, mz * (1 + pep_id % 2) - (1 + pep_id % 2) * CAST({PROTON} AS DOUBLE) AS mass_shift, abs(rt_sec - 300.0) AS rt_delta FROM r WHERE k = 1 AND abs(rt_sec - 300) <= 200 AND intensity >= 2000", "observed_mz observed_intensity mass_shift rt_delta")
+def _(v, spark):
+    own = v("v_targets").withColumn("charge", 1 + F.col("pep_id") % 2)
+    return matching.coeluting_matches(own, v("v_peaks"), _T, 300.0, 20.0, 200.0, 2000.0)
+
+
+@R.add("band_da", "pairs AS (SELECT t.*, p.* FROM v_targets t JOIN v_peaks p ON mz >= target_mz - 0.02 AND mz <= target_mz + 0.02), r AS (SELECT *, row_number() OVER (PARTITION BY pep_id, frag_id ORDER BY abs((mz - target_mz) / target_mz * 1e6), mz, CASE WHEN mz < target_mz THEN -peak_id ELSE peak_id END) AS k FROM pairs):: SELECT pep_id, frag_id, peak_id FROM r WHERE k = 1")
+def _(v, spark):
+    return match(v("v_targets"), v("v_peaks"), 0.02, "neighbor", _T, unit="Da").select(*_T, "peak_id")
+
+
+@R.add("band_best_ratio", "pairs AS (SELECT t.*, p.* FROM v_targets t JOIN v_peaks p ON mz >= target_mz - target_mz * 20.0 / 1e6 AND mz < target_mz + target_mz * 20.0 / 1e6), r AS (SELECT *, row_number() OVER (PARTITION BY pep_id, frag_id ORDER BY intensity / (1000.0 + 20 * pep_id) DESC, mz, peak_id) AS k FROM pairs WHERE intensity / (1000.0 + 20 * pep_id) <= 1.5 AND abs(rt_sec - 300) <= 250):: SELECT pep_id, frag_id, peak_id, intensity / (1000.0 + 20 * pep_id) AS ratio FROM r WHERE k = 1", "ratio")
+def _(v, spark):
+    own = v("v_targets").withColumn("target_intensity", 1000.0 + 20 * F.col("pep_id"))
+    return match(own, v("v_peaks"), 20.0, "best_ratio", _T, where=F.abs(F.col("rt_sec") - 300) <= 250).select(*_T, "peak_id", (F.col("intensity") / F.col("target_intensity")).alias("ratio"))
+
+
+@R.add("normalized_intensity", ":: SELECT peak_id, scan, CASE WHEN max(intensity) OVER (PARTITION BY scan) < 1e-9 THEN intensity ELSE intensity / max(intensity) OVER (PARTITION BY scan) END AS normalized FROM v_peaks", "normalized")
+def _(v, spark):
+    return matching.normalized(v("v_peaks"), ["scan"]).select("peak_id", "scan", "normalized")
+
+
+#: Predicted fragments and a spectrum for each of fifty matches, keyed as both sides of the equi-join are.
+_SCORED = "fr AS (SELECT pep_id % 50 AS psm_id, pep_id % 2 AS ion_type, frag_id AS position, 1 + pep_id // 200 AS frag_charge, max(target_mz) AS target_mz, max(pep_id) / 400.0 AS predicted FROM v_targets WHERE pep_id % 50 <> 49 GROUP BY ALL), sp AS (SELECT scan AS psm_id, peak_id, mz, intensity FROM v_peaks)"
+
+
+def _scored(v):
+    own = v("v_targets").where("pep_id % 50 <> 49").selectExpr("pep_id % 50 AS psm_id", "pep_id % 2 AS ion_type", "frag_id AS position", "1 + pep_id div 200 AS frag_charge", "target_mz", "pep_id")
+    own = own.groupBy("psm_id", "ion_type", "position", "frag_charge").agg(F.max("target_mz").alias("target_mz"), (F.max("pep_id") / 400.0).alias("intensity"))
+    spectra = v("v_peaks").select(F.col("scan").cast("long").alias("psm_id"), "peak_id", "mz", "intensity")
+    return matching.score_matches(own.drop("target_mz"), own.where("position % 3 <> 1"), spectra, 5.0)
+
+
+_SCORED_ROWS = f"{_SCORED}, th AS (SELECT * FROM fr WHERE position % 3 <> 1 AND predicted >= 0.01), nr AS (SELECT th.psm_id, ion_type, position, frag_charge, arg_min(intensity, (abs(mz - target_mz), peak_id)) AS observed FROM th JOIN sp ON sp.psm_id = th.psm_id AND mz >= target_mz - 5.0 AND mz <= target_mz + 5.0 GROUP BY ALL), sm AS (SELECT psm_id, ion_type, position, frag_charge, predicted, observed FROM th LEFT JOIN nr USING (psm_id, ion_type, position, frag_charge))"
+
+
+@R.add("intensity_matches", f"{_SCORED_ROWS}:: SELECT * FROM sm", "predicted observed")
+def _(v, spark):
+    return _scored(v)
+
+
+@R.add("intensity_scores", f"{_SCORED_ROWS}:: SELECT psm_id, CASE WHEN count(observed) >= 3 THEN corr(predicted, observed) ELSE 0 END AS corr_all, count(observed) AS n_matched, count(observed) / count(*) AS coverage_predicted FROM sm GROUP BY psm_id", "corr_all coverage_predicted", 5)
+def _(v, spark):
+    return psm.intensity_correlation(_scored(v)).select("psm_id", "corr_all", "n_matched", "coverage_predicted")
 
 
 _CHROM = "x AS (SELECT pep_id, frag_id, target_mz, scan, sum(intensity) AS intensity, sum(mz * intensity) AS mass_sum, count(*) AS n FROM v_targets JOIN v_hits ON mz BETWEEN target_mz - target_mz * 50.0 / 1e6 AND target_mz + target_mz * 50.0 / 1e6 GROUP BY ALL)"
@@ -84,22 +134,22 @@ def _(v, spark):
     return profiles.combined_scores(profiles.xic(v("v_targets"), v("v_hits"), 50.0), 100)
 
 
-_SPECTRA = "sp AS (SELECT DISTINCT scan AS scan_id, CAST(scan AS DOUBLE) * 10 AS rt_sec, 500.0 + CAST(scan % 20 AS DOUBLE) * 0.105 AS q1_center FROM v_peaks), pk AS (SELECT scan AS scan_id, mz, intensity FROM v_peaks), fr AS (SELECT pep_id * 1000 + frag_id AS frag_id, target_mz FROM v_targets WHERE pep_id < 40)"
+_SPECTRA = "sp AS (SELECT DISTINCT scan AS scan_id, CAST(scan AS DOUBLE) * 10 AS rt_sec, 500.0 + CAST(scan % 20 AS DOUBLE) * 0.105 AS q1_center FROM v_peaks), pk AS (SELECT scan AS scan_id, mz, intensity FROM v_peaks), fr AS (SELECT frag_id * 400 + pep_id AS frag_id, target_mz FROM v_targets)"
 
 
 def _spectra(v):
     scans = v("v_peaks").select(F.col("scan").alias("scan_id")).distinct()
     spectra = scans.select("scan_id", (F.col("scan_id").cast("double") * 10).alias("rt_sec"), (500.0 + (F.col("scan_id") % 20).cast("double") * 0.105).alias("q1_center"))
-    frags = v("v_targets").where("pep_id < 40").select((F.col("pep_id") * 1000 + F.col("frag_id")).alias("frag_id"), "target_mz")  # one precursor's fragments
+    frags = v("v_targets").select((F.col("frag_id") * 400 + F.col("pep_id")).alias("frag_id"), "target_mz")
     return frags, spectra, v("v_peaks").select(F.col("scan").alias("scan_id"), "mz", "intensity")
 
 
-@R.add("q1_profile", f"{_SPECTRA}, near AS (SELECT scan_id, rt_sec, CAST(round_even(q1_center * 100, 0) / 100 AS FLOAT) AS q1 FROM sp WHERE q1_center BETWEEN 501.0 - 0.8 AND 501.0 + 0.8), h AS (SELECT frag_id, q1, sum(intensity) AS intensity FROM fr CROSS JOIN pk JOIN near USING (scan_id) WHERE abs(rt_sec - 250) <= 150 AND mz BETWEEN target_mz - target_mz * 200.0 / 1e6 AND target_mz + target_mz * 200.0 / 1e6 GROUP BY ALL):: SELECT frag_id, q1, coalesce(intensity, 0) AS intensity FROM (SELECT fr.frag_id, n.q1 FROM fr CROSS JOIN (SELECT DISTINCT q1 FROM near) n) LEFT JOIN h USING (frag_id, q1)", "q1 intensity", 4)
+@R.add("q1_profile", f"{_SPECTRA}, near AS (SELECT scan_id, rt_sec, CAST(round_even(q1_center * 100, 0) / 100 AS FLOAT) AS q1 FROM sp WHERE q1_center BETWEEN 501.0 - 0.8 AND 501.0 + 0.8), h AS (SELECT frag_id, q1, sum(intensity) AS intensity FROM fr JOIN (SELECT mz, intensity, q1 FROM pk JOIN near USING (scan_id) WHERE abs(rt_sec - 250) <= 150) ON mz >= target_mz - target_mz * 200.0 / 1e6 AND mz <= target_mz + target_mz * 200.0 / 1e6 GROUP BY ALL):: SELECT frag_id, q1, coalesce(intensity, 0) AS intensity FROM (SELECT fr.frag_id, n.q1 FROM fr CROSS JOIN (SELECT DISTINCT q1 FROM near) n) LEFT JOIN h USING (frag_id, q1)", "q1 intensity", 4)
 def _(v, spark):
     return profiles.q1_profile(*_spectra(v), 501.0, 0.8, 250.0, 150.0, 200.0)
 
 
-@R.add("rt_profile", f"{_SPECTRA}, near AS (SELECT scan_id, CAST(least(49, greatest(0, floor((rt_sec - 100) / (300.0 / 49)))) AS INTEGER) AS rt_bin FROM sp WHERE abs(rt_sec - 250) <= 150), h AS (SELECT frag_id, rt_bin, sum(intensity) AS intensity FROM fr CROSS JOIN pk JOIN near USING (scan_id) WHERE mz BETWEEN target_mz - target_mz * 200.0 / 1e6 AND target_mz + target_mz * 200.0 / 1e6 GROUP BY ALL), bins AS (SELECT CAST(b AS INTEGER) AS rt_bin FROM (SELECT unnest(generate_series(0, 49)) AS b)):: SELECT frag_id, rt_bin, coalesce(intensity, 0) AS intensity, 100 + rt_bin * (300.0 / 49) AS rt_sec FROM (SELECT fr.frag_id, rt_bin FROM fr CROSS JOIN bins) LEFT JOIN h USING (frag_id, rt_bin)", "intensity rt_sec", 4)
+@R.add("rt_profile", f"{_SPECTRA}, near AS (SELECT scan_id, CAST(least(49, greatest(0, floor((rt_sec - 100) / (300.0 / 49)))) AS INTEGER) AS rt_bin FROM sp WHERE abs(rt_sec - 250) <= 150), h AS (SELECT frag_id, rt_bin, sum(intensity) AS intensity FROM fr JOIN (SELECT mz, intensity, rt_bin FROM pk JOIN near USING (scan_id)) ON mz >= target_mz - target_mz * 200.0 / 1e6 AND mz <= target_mz + target_mz * 200.0 / 1e6 GROUP BY ALL), bins AS (SELECT CAST(b AS INTEGER) AS rt_bin FROM (SELECT unnest(generate_series(0, 49)) AS b)):: SELECT frag_id, rt_bin, coalesce(intensity, 0) AS intensity, 100 + rt_bin * (300.0 / 49) AS rt_sec FROM (SELECT fr.frag_id, rt_bin FROM fr CROSS JOIN bins) LEFT JOIN h USING (frag_id, rt_bin)", "intensity rt_sec", 4)
 def _(v, spark):
     return profiles.rt_profile(*_spectra(v), 250.0, 150.0, 50, 200.0)
 
@@ -202,12 +252,18 @@ def _(v, spark):
     return search.hyperscore(item_fragments(v).withColumnRenamed("sequence", "pep_id"), v("v_peaks"))
 
 
-@R.add("dda_features", """:: SELECT psm_id, is_decoy, ln(1 + hyperscore) AS log_hyperscore, delta_score, ln(1 + matched_peaks) AS log_matched_peaks, CAST(matched_b AS DOUBLE) AS matched_b, CAST(matched_y AS DOUBLE) AS matched_y,
-  coalesce(least(matched_b, matched_y) / nullif(matched_b + matched_y, 0), 0) AS ion_balance, (matched_b + matched_y) / (2.0 * (length(sequence) - 1)) AS coverage, CAST(length(sequence) AS DOUBLE) AS length, CAST(charge AS DOUBLE) AS charge,
-  CAST(length(sequence) - 1 - length(replace(replace(sequence[1:length(sequence) - 1], 'K', ''), 'R', '')) AS DOUBLE) AS missed_cleavages, coalesce(hyperscore / nullif(matched_b + matched_y, 0), 0) AS score_per_peak, CASE WHEN hyperscore > 0 THEN delta_score / greatest(hyperscore, 1) ELSE 0 END AS delta_ratio, dl_similarity FROM v_dda""",
-    "log_hyperscore delta_score log_matched_peaks ion_balance coverage score_per_peak delta_ratio dl_similarity", 7)
+_DDA = "event_id % 7 + 0.5 AS ppm_error, event_id % 11 AS longest_b, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 0.25 END AS matched_intensity, value * 2.0 AS hyperscore_mul"
+
+
+@R.add("dda_features", f"""w AS (SELECT * FROM v_dda JOIN (SELECT event_id AS psm_id, {_DDA} FROM events) USING (psm_id)):: SELECT psm_id, is_decoy, hyperscore, delta_score, matched_peaks, matched_b, matched_y, charge, ln(hyperscore + 1) AS log_hyperscore, ln(matched_peaks + 1) AS log_matched,
+  CASE WHEN matched_b + matched_y > 0 THEN least(matched_b, matched_y) / (matched_b + matched_y) ELSE 0 END AS ion_balance, length(sequence) AS peptide_length, CASE WHEN length(sequence) > 1 THEN (matched_b + matched_y) / (2.0 * (length(sequence) - 1)) ELSE 0 END AS coverage,
+  len(regexp_extract_all(sequence[1:length(sequence) - 1], '[KR]')) AS missed_cleavages, CASE WHEN matched_b + matched_y > 0 THEN hyperscore / (matched_b + matched_y) ELSE 0 END AS score_per_peak, CASE WHEN hyperscore > 0 THEN delta_score / greatest(hyperscore, 1) ELSE 0 END AS delta_score_ratio,
+  ppm_error, longest_b, coalesce(matched_intensity, 0) AS matched_intensity, hyperscore_mul, dl_similarity FROM w""",
+    "hyperscore delta_score matched_peaks matched_b matched_y charge log_hyperscore log_matched ion_balance peptide_length coverage missed_cleavages score_per_peak delta_score_ratio ppm_error longest_b matched_intensity hyperscore_mul dl_similarity", 7)
 def _(v, spark):
-    return psm.dda_features(v("v_dda"))
+    id_of, value = F.col("psm_id"), F.col("hyperscore")
+    more = {"ppm_error": id_of % 7 + 0.5, "longest_b": id_of % 11, "matched_intensity": F.when(id_of % 5 == 0, F.lit(None).cast("double")).otherwise(0.25), "hyperscore_mul": value * 2.0}
+    return psm.dda_features(v("v_dda").withColumns(more))
 
 
 _PATTERN = f"CASE k WHEN 0 THEN 1 ELSE pow(mass * {AVERAGINE!r}, k) / factorial(CAST(k AS INTEGER)) * exp(-mass * {AVERAGINE!r}) END"

@@ -47,6 +47,15 @@ def _(v, spark):
     return fdr.target_decoy_q(v("v_psms")).select("psm_id", "q_value")
 
 
+_TIERED = "c AS (SELECT psm_id, tier, row_number() OVER w AS k, count(*) FILTER (is_decoy) OVER w AS d, count(*) FILTER (NOT is_decoy) OVER w AS t FROM (SELECT *, nullif(group_id % 4, 3) AS tier FROM v_psms) WHERE tier IS NOT NULL WINDOW w AS (PARTITION BY tier ORDER BY score DESC, psm_id))"
+
+
+@R.add("td_qvalue_tiers", _TIERED + ":: SELECT psm_id, least(1, min(d / greatest(t, 1)) OVER (PARTITION BY tier ORDER BY k DESC)) AS q_value FROM c UNION ALL SELECT psm_id, 1 FROM v_psms WHERE group_id % 4 = 3", "q_value")
+def _(v, spark):
+    own = v("v_psms").withColumn("tier", F.when(F.col("group_id") % 4 != 3, F.col("group_id") % 4))
+    return fdr.target_decoy_q(own, tier="tier").select("psm_id", "q_value")
+
+
 @R.add("fdr_stats", _TD + ":: SELECT count(*) FILTER (NOT is_decoy) AS n_targets, count(*) FILTER (is_decoy) AS n_decoys, count(*) FILTER (NOT is_decoy AND q_value <= 0.01) AS n_1pct, count(*) FILTER (NOT is_decoy AND q_value <= 0.05) AS n_5pct, count(*) FILTER (NOT is_decoy AND q_value <= 0.1) AS n_10pct FROM s")
 def _(v, spark):
     return fdr.statistics(fdr.target_decoy_q(v("v_psms")))
@@ -78,6 +87,13 @@ def _(v, spark):
     return calibration.apply_recalibration(v("v_peaks"), table).select("peak_id", "corrected_mz")
 
 
+@R.add("recal_statistics", _BINS + """, c AS (SELECT ppm, (observed_mz / (1 + correction / 1e6) - theoretical_mz) / theoretical_mz * 1e6 AS after FROM i, z, nb JOIN m ON m.bin = CAST(least(nb - 1, greatest(0, floor((rt_sec - lo) / (hi - lo) * nb))) AS INTEGER))
+  :: SELECT (SELECT nb FROM nb) AS n_bins, greatest(5, quantile_cont(abs(after), 0.95) + 2) AS recommended_tolerance, (SELECT lo FROM z) AS rt_min, (SELECT hi FROM z) AS rt_max, median(ppm) AS median_ppm_before, stddev_pop(ppm) AS std_ppm_before, median(after) AS median_ppm_after, stddev_pop(after) AS std_ppm_after FROM c""",
+    "n_bins recommended_tolerance rt_min rt_max median_ppm_before std_ppm_before median_ppm_after std_ppm_after", 4)
+def _(v, spark):
+    return calibration.recalibration_statistics(v("v_calibration"), calibration.fit_recalibration(v("v_calibration")))
+
+
 @R.add("fill_bins", "k AS (SELECT peak_id % 97 AS bin, CASE WHEN (peak_id % 97) % 5 = 2 THEN max(intensity) END AS correction FROM v_peaks GROUP BY 1), w AS (SELECT bin, correction, last_value(correction IGNORE NULLS) OVER a AS v0, first_value(correction IGNORE NULLS) OVER b AS v1, last_value(CASE WHEN correction IS NOT NULL THEN bin END IGNORE NULLS) OVER a AS b0, first_value(CASE WHEN correction IS NOT NULL THEN bin END IGNORE NULLS) OVER b AS b1 FROM k WINDOW a AS (ORDER BY bin ROWS UNBOUNDED PRECEDING), b AS (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)):: SELECT bin, coalesce(CASE WHEN b0 = b1 THEN v0 ELSE (1 - (bin - b0) / (b1 - b0)) * v0 + (bin - b0) / (b1 - b0) * v1 END, v0, v1, 0) AS correction FROM w", "correction", 4)
 def _(v, spark):
     bins = v("v_peaks").groupBy((F.col("peak_id") % 97).alias("bin")).agg(F.max("intensity").alias("i"))
@@ -140,7 +156,12 @@ def _(v, spark):
     return calibration.predict_rt(points, calibration.fit_rt(v("v_pairs")))
 
 
-@R.add("rt_pchip_fit", None)
+_T0 = """, kc AS (SELECT run_id, irt, rt_sec, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY run_id) AS n, (lead(rt_sec) OVER w - rt_sec) / (lead(irt) OVER w - irt) AS s FROM kn WINDOW w AS (PARTITION BY run_id ORDER BY irt)),
+  fa AS (SELECT run_id, max(n) AS n, median(s) FILTER (k < greatest(3, least(12, floor(n * 0.05)))) AS early, greatest(1e-12, median(s) FILTER (k < 8)) AS low_slope, greatest(1e-12, median(s) FILTER (k >= n - 9)) AS high_slope, count(s) AS n_segments FROM kc GROUP BY run_id),
+  tz AS (SELECT run_id, greatest(0, median(rt_sec - early * irt)) AS t0 FROM kc JOIN fa USING (run_id) WHERE k <= greatest(3, least(12, floor(kc.n * 0.05))) GROUP BY run_id)"""
+
+
+@R.add("rt_pchip_fit", _KNOTS + _T0 + ":: SELECT run_id, n, CASE WHEN n >= 4 THEN t0 ELSE 0 END AS t0, low_slope, high_slope, CAST(n_segments AS INTEGER) AS n_segments FROM fa JOIN tz USING (run_id)", "t0 low_slope high_slope", 4)
 def _(v, spark):
     return calibration.fit_rt(v("v_pairs")).select("run_id", "n", "t0", "low_slope", "high_slope", F.size("segments").alias("n_segments"))
 
@@ -197,7 +218,7 @@ def _(v, spark):
 
 
 @R.add("kernel_learn", _SHAPE + """, ag AS (SELECT median(fwhm) FILTER (fwhm > 0) AS fwhm, median(center - 16) AS "offset", (quantile_cont(fwhm, 0.75) - quantile_cont(fwhm, 0.25)) / 1.35 AS fwhm_std, (quantile_cont(center - 16, 0.75) - quantile_cont(center - 16, 0.25)) / 1.35 AS offset_std, count(*) FILTER (fwhm > 0) AS n_profiles, count(*) FILTER (flat_top > 0) AS nf, median(flat_top) FILTER (flat_top > 0) AS f FROM sh)
-  :: SELECT fwhm, "offset", fwhm_std, offset_std, n_profiles, CASE WHEN nf > n_profiles * 0.3 AND f > fwhm * 0.2 THEN 'trapezoid' ELSE 'gaussian' END AS kernel_type, CASE WHEN nf > n_profiles * 0.3 AND f > fwhm * 0.2 THEN f ELSE 0 END AS flat_top_width FROM ag""", "fwhm fwhm_std offset_std flat_top_width", 5)
+  :: SELECT fwhm, fwhm / 2.355 AS sigma, "offset", fwhm_std, offset_std, n_profiles, CASE WHEN nf > n_profiles * 0.3 AND f > fwhm * 0.2 THEN 'trapezoid' ELSE 'gaussian' END AS kernel_type, CASE WHEN nf > n_profiles * 0.3 AND f > fwhm * 0.2 THEN f ELSE 0 END AS flat_top_width FROM ag""", "fwhm sigma fwhm_std offset_std flat_top_width", 5)
 def _(v, spark):
     out = profiles.learn_kernel(profiles.kernel_shape(v("v_profiles"), "vec_id"), 16.0)
     return out

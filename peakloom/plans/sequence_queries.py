@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import H2O, ISOTOPE_SPACING, MASSES, MODIFICATIONS, PROTON
-from ..functions import decoys, isotopes, mass
+from ..functions import decoys, isotopes, mass, sql
 from ..operators import sequences
 from ..operators.joins import window_totals
 from .views import Registry
@@ -56,6 +56,25 @@ def _(v, spark):
     return own.select("sequence", "is_decoy", "accession", "neutral_mass")
 
 
+@R.add("digest_proteins", digest_sql("v_proteins", 2) + ", g AS (SELECT doc_id AS protein_id, 'tryptic GN=' || coalesce(source, 'none') || ' ' || coalesce(lang, '') AS description FROM documents), c AS (SELECT protein_id, count(DISTINCT peptide) AS n FROM peps GROUP BY protein_id):: SELECT protein_id, regexp_extract(description, 'GN=([^ ]*)', 1) AS gene, CAST(length(sequence) AS INTEGER) AS length, coalesce(n, 0) AS n_peptides FROM v_proteins JOIN g USING (protein_id) LEFT JOIN c USING (protein_id)")
+def _(v, spark):
+    named = v("documents").select(F.col("doc_id").alias("protein_id"), F.concat(F.lit("tryptic GN="), F.coalesce("source", F.lit("none")), F.lit(" "), F.coalesce("lang", F.lit(""))).alias("description"))
+    return sequences.digest_proteins(v("v_proteins").join(named, "protein_id"))[1].drop("description")
+
+
+@R.add("sql_functions", f":: SELECT peak_id, (mz - 1000.0) / 1000.0 * 1e6 AS ppm, (mz * 2 - 2 * CAST({PROTON} AS DOUBLE)) AS mass, (mz + 3 * CAST({PROTON} AS DOUBLE)) / 3 AS mz3, CAST(floor(ln(mz) / ln(1 + 20.0 / 1e6)) AS BIGINT) AS bin, mz / (1 + 3.5 / 1e6) AS corrected FROM v_peaks", "ppm mass mz3 corrected", 5)
+def _(v, spark):
+    sql.register(spark)
+    return v("v_peaks").selectExpr("peak_id", "ppm_error(mz, 1000.0D) AS ppm", "mass_from_mz(mz, 2) AS mass", "precursor_mz(mz, 3) AS mz3", "mz_log_bin(mz, 20.0D) AS bin", "correct_mz(mz, 3.5D) AS corrected")
+
+
+@R.add("sql_peptides", digest_sql("v_items", 1) + f":: SELECT protein_id AS item_id, missed, peptide, {mass_sql('peptide')} AS mass, peptide[1:1] || reverse(peptide[2:length(peptide) - 1]) || peptide[length(peptide):length(peptide)] AS decoy FROM peps", "mass")
+def _(v, spark):
+    sql.register(spark)
+    v("v_items").createOrReplaceTempView("own_items")
+    return spark.sql("SELECT protein_id AS item_id, p.missed, p.peptide, peptide_mass(p.peptide) AS mass, diann_decoy(p.peptide) AS decoy FROM own_items, LATERAL tryptic_peptides(sequence, 1) AS p WHERE length(p.peptide) BETWEEN 7 AND 35")
+
+
 @R.add("shuffle_decoys", None)
 def _(v, spark):
     s = F.col("peptide")

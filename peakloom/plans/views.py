@@ -50,6 +50,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "v_profiles":
         own = read("embeddings").select("vec_id", "label", F.posexplode("embedding").alias("pos", "e"))
         return own.select("vec_id", F.col("pos").cast("long").alias("pos"), (F.col("pos").cast("double") * 0.5).alias("x"), F.abs(F.col("e").cast("double")).alias("value"), "label")
+    if name not in VIEWS:
+        return read(name)
     table, columns = VIEWS[name]
     return read(table).selectExpr(*columns)
 
