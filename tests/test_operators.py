@@ -219,15 +219,92 @@ def test_recalibration(spark):
 
 
 def test_rt_model(spark):
+    """Against the published definition: harmonic means of secants inside, one-sided slopes kept monotone at the ends."""
     x = np.sort(np.random.default_rng(4).uniform(0, 100, 60))
     y = 20 + 5 * x + 3 * np.sin(x / 10)
-    model = calibration.fit_rt(spark.createDataFrame([("a", float(p), float(q)) for p, q in zip(x, y)] + [("b", 1.0, 7.0)], "run_id string, irt double, rt_sec double"))
+    rows = [("a", float(p), float(q)) for p, q in zip(x, y)] + [("b", 1.0, 7.0)]
+    pairs = spark.createDataFrame(rows, "run_id string, irt double, rt_sec double")
+    seg = calibration.pchip_segments(calibration.robust_pairs(pairs)).where("run_id = 'a'").orderBy("x0").toPandas()
+    width, secant = np.diff(x), np.diff(y) / np.diff(x)
+    share = (2 * width[1:] + width[:-1]) / (3 * (width[1:] + width[:-1]))  # of the left secant's reciprocal
+    assert np.allclose(seg.m0[1:], 1 / (share / secant[:-1] + (1 - share) / secant[1:]))
+    assert np.allclose(seg.m1[:-1], seg.m0[1:]) and (seg.m0 >= 0).all() and (seg.m1 >= 0).all()
+    model = calibration.fit_rt(pairs)
     at = np.linspace(x[0], x[-1], 50)
-    got = calibration.predict_rt(spark.createDataFrame([("a", float(v)) for v in at] + [("b", 3.0), ("c", 1.0)], "run_id string, irt double"), model).toPandas()
-    assert np.allclose(got[got.run_id == "a"].sort_values("irt").predicted, calibration.pchip_reference(x, y, at), atol=1e-6)
+    got = calibration.predict_rt(spark.createDataFrame([("a", float(v)) for v in [*at, *x]] + [("b", 3.0), ("c", 1.0)], "run_id string, irt double"), model).toPandas()
+    own = got[got.run_id == "a"].sort_values("irt").drop_duplicates("irt")
+    assert (np.diff(own.predicted) >= -1e-9).all() and np.allclose(own[own.irt.isin(x)].predicted, y)
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
+    t, h = (at - x[k]) / width[k], width[k]
+    m0, m1 = seg.m0.to_numpy()[k], seg.m1.to_numpy()[k]
+    c2, c3 = 3 * (y[k + 1] - y[k]) - h * (2 * m0 + m1), -2 * (y[k + 1] - y[k]) + h * (m0 + m1)  # the cubic in powers of t
+    assert np.allclose(own[own.irt.isin(at)].predicted, y[k] + h * m0 * t + c2 * t**2 + c3 * t**3, atol=1e-6)
     assert got[got.run_id == "b"].predicted.item() == 7.0 and math.isnan(got[got.run_id == "c"].predicted.item())
 
 
+def test_left_tolerance_join_with_nulls(spark):
+    targets = spark.createDataFrame([(1, 500.0, None), (2, 600.0, "x"), (3, None, None), (2, 600.0, "x"), (4, 700.0, None)], "id int, target_mz double, note string")
+    peaks = spark.createDataFrame([(10, 500.001), (11, 500.002), (12, 900.0)], "peak_id int, mz double")
+    got = sorted((r.id, r.peak_id or 0) for r in joins.tolerance_join(targets, peaks, 10.0, how="left").collect())
+    assert got == [(1, 10), (1, 11), (2, 0), (2, 0), (3, 0), (4, 0)]
+
+
+def test_match_in_daltons_and_by_ratio(spark):
+    rng = np.random.default_rng(8)
+    t, m, i = rng.uniform(100, 120, 60), rng.uniform(100, 120, 400), rng.uniform(1, 100, 400)
+    targets = spark.createDataFrame([(k, float(v), 40.0) for k, v in enumerate(t)], "id int, target_mz double, target_intensity double")
+    peaks = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(m, i))], "peak_id int, mz double, intensity double")
+    got = {r.id: r.peak_id for r in joins.match(targets, peaks, 0.05, "nearest", ["id"], unit="Da").collect()}
+    assert got == {k: int(np.abs(m - v).argmin()) for k, v in enumerate(t) if np.abs(m - v).min() <= 0.05}
+    got = {r.id: r.peak_id for r in joins.match(targets, peaks, 0.05, "best_ratio", ["id"], unit="Da").collect()}
+    fits = {k: [j for j in range(400) if v - 0.05 <= m[j] < v + 0.05 and i[j] / 40 <= 1.5] for k, v in enumerate(t)}
+    assert got == {k: max(js, key=lambda j: i[j]) for k, js in fits.items() if js}
+    with pytest.raises(ValueError):
+        joins.match(targets, peaks, 0.05, "other", ["id"])
+
+
+def test_quantiles_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(windows, "EXACT_ROWS", 100)
+    values = [*np.random.default_rng(1).normal(0, 1, 4000).round(2).tolist(), *[0.25] * 2000]
+    rows = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+    assert windows.quantiles(rows, "v", [0.0, 0.25, 0.5, 0.95, 1.0]) == pytest.approx(np.quantile(values, [0, 0.25, 0.5, 0.95, 1]).tolist())
+    assert windows.quantiles(rows.limit(0), "v", [0.5]) == [None]
+
+
+def test_fdr_in_many_ranges(spark, monkeypatch):
+    """Ties, a score that a third of all rows have, and ranges of few rows give what one range gives."""
+    rng = np.random.default_rng(2)
+    score = np.where(rng.random(900) < 0.33, 0.5, rng.normal(0, 1, 900).round(1))
+    rows = spark.createDataFrame([(k, float(s), bool(d), k % 3 if k % 7 else None) for k, (s, d) in enumerate(zip(score, rng.random(900) < 0.3))], "psm_id long, score double, is_decoy boolean, tier int")
+    runs = []
+    for n in (1_000_000, 40):
+        monkeypatch.setattr(fdr, "RANGE_ROWS", n)
+        runs.append([{r.psm_id: (r.fdr, r.q_value) for r in fdr.q_values(rows).collect()}, *({r.psm_id: r.q_value for r in fdr.target_decoy_q(rows, tier=t).collect()} for t in (None, "tier"))])
+    assert runs[0] == runs[1] and len(runs[0][1]) == 900
+    assert all(runs[0][2][k] == 1.0 for k in range(0, 900, 7))
+
+
+def test_forest_by_tier(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, bool(k % 2), "abc"[k % 3] if k % 50 else None, float(rng.normal(0 if k % 2 else 2, 1)), float(rng.normal(0, 1))) for k in range(900)]
+    own = spark.createDataFrame([*rows, (1000, False, "few", 9.0, 0.0)], "psm_id long, is_decoy boolean, tier string, log_hyperscore double, noise double")
+    got = rescoring.rf_rescore(own, rounds=1, trees=5, depth=3, q=0.1, least=20, tier="tier").toPandas().set_index("psm_id")
+    assert len(got) == 901 and (got.q_value[got.tier.isna()] == 1).all() and (got[~got.is_decoy].rf_score.mean() > got[got.is_decoy].rf_score.mean())
+    for _, part in got[got.tier.notna()].groupby("tier"):
+        part = part.reset_index().sort_values(["rf_score", "psm_id"], ascending=[False, True])
+        rate = part.is_decoy.cumsum() / (~part.is_decoy).cumsum().clip(lower=1)
+        assert np.allclose(part.q_value, np.minimum(rate[::-1].cummin()[::-1], 1))
+
+
+def test_digest_proteins(spark):
+    own = spark.createDataFrame([(1, "PEPTIDEKAAAAAAAR", "x GN=ABC y"), (2, "PEPTIDEK", None), (3, None, "GN=Z")], "protein_id long, sequence string, description string")
+    peptides, proteins = sequences.digest_proteins(own, 0)
+    assert {(r.sequence, tuple(r.proteins), r.n_occurrences) for r in peptides.collect()} == {("PEPTIDEK", (1, 2), 2), ("AAAAAAAR", (1,), 1)}
+    assert [(r.gene, r.length, r.n_peptides) for r in proteins.orderBy("protein_id").collect()] == [("ABC", 16, 2), ("", 8, 1), ("Z", None, 0)]
+    shuffled = decoys.append_decoys(peptides, "shuffle").where("is_decoy").collect()
+    assert {"".join(sorted(r.sequence)) for r in shuffled} <= {"".join(sorted(s)) for s in ("PEPTIDEK", "AAAAAAAR")}
+
+
 def test_grouping(spark):
     peaks = spark.createDataFrame([(k, s, m, i) for k, (s, m, i) in enumerate([(0, 500.0, 100.0), (1, 500.001, 110.0), (0, 500.01, 90.0), (1, 500.01, 95.0), (0, 600.0, 50.0)])], "peak_id long, scan int, mz double, intensity double")
     refs = spark.createDataFrame([(0, 500.0, 0)], "ref_id long, ref_mz double, ref_scan int")
