@@ -6,6 +6,7 @@ Text crosses to Python as UTF-8 bytes (a ``binary`` column), never as ``str``: A
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -74,8 +75,18 @@ def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def release() -> None:
+    """Gives memory that earlier work freed back to the system: a worker lives on for other tasks of its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``limit`` bytes of ``column``, one row at least."""
+    release()
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -86,6 +97,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             stop = max(start + 1, int(np.searchsorted(sizes, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start, done = stop, int(sizes[stop - 1])
+    release()
 
 
 def _views(values: pa.Array) -> Iterator[memoryview | None]:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -184,7 +184,7 @@ def search_shard(documents: list[list[bytes]], windows: Windows) -> tuple[np.nda
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _pass(items) -> object:
+def _pass(items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Windows(items.value)
         for part in chunks(batches, "text", SHARD_BYTES):
@@ -224,16 +224,17 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*part.columns[:place], counts, pa.array(spans, _SPAN_TYPE), items], [*part.schema.names[:place], "n_words", "spans", "items"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *more: str) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *more: str, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = "") -> DataFrame:
     """(doc_id, text binary, the columns ``more`` of ``docs``, n_words, spans, items) for every row: hit word spans
     [start, end) and the items found.
 
     A window is 8 consecutive words of an item; an item of fewer words, but not none, is one window.  Null texts have no
     words; a null item_id is named by the empty string; items that share an id count once; an empty benchmark hits
     nothing.  A shard is at least one whole document, however long.  Repeated rows are searched like any others.  An empty
-    table gives an empty result.
+    table gives an empty result.  ``then`` takes the batches of these columns further in the same worker, to ``schema``.
     """
     spark = docs.sparkSession
+    last = then or (lambda batches: batches)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), text_bytes().alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).head()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
@@ -242,23 +243,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *more: str) -> DataFrame:
     base = f"doc_id {kinds['doc_id']}, text binary" + "".join(f", `{c}` {kinds[c]}" for c in more)
     found = f", n_words long, spans {_STATE}, items array<string>"
 
-    def search(where, rows: DataFrame, schema: str) -> DataFrame:
-        own = spark.sparkContext.broadcast([(r["item_id"], bytes(r["text"])) for r in items.where(where).collect()])
-        return rows.mapInArrow(_pass(own), schema + found)
+    def search(where) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        return _pass(spark.sparkContext.broadcast([(r["item_id"], bytes(r["text"])) for r in items.where(where).collect()]))
 
     if blocks == 1:
-        return search(F.lit(True), rows, base)
+        run = search(F.lit(True))
+        return rows.mapInArrow(lambda batches: last(run(batches)), schema or base + found)
     path = f"{shared_folder(spark)}/leaks-{uuid.uuid4()}"
     keys = [F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("id_hash"), F.xxhash64(F.lit(3), "text").alias("text_hash")]
     own = docs.select(*keys, text_bytes().alias("text"))
     for block in range(blocks):
-        hit = search(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block, own, "id_hash long, text_hash long, text binary")
+        hit = own.mapInArrow(search(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block), "id_hash long, text_hash long, text binary" + found)
         hit.where(F.size("items") > 0).select("id_hash", "text_hash", "spans", "items").distinct().write.mode("append").parquet(path)
     both = spark.read.schema(f"id_hash long, text_hash long, spans {_STATE}, items array<string>").parquet(path).groupBy("id_hash", "text_hash").agg(
         F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
     keyed = docs.select("doc_id", text_bytes().alias("text"), *more, *keys)
-    return keyed.join(both, ["id_hash", "text_hash"], "left").select(*rows.columns, "spans", "items").mapInArrow(_merged, base + found)
+    return keyed.join(both, ["id_hash", "text_hash"], "left").select(*rows.columns, "spans", "items").mapInArrow(lambda batches: last(_merged(batches)), schema or base + found)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -286,17 +287,17 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents (doc_id, text, lang, source, n_chars) without leaks: those with windows of two items or more go, and from
     those with windows of one the hit words are cut.  All others stay as they are, null texts and repeated rows included;
     long texts are cut whole.  Other columns of ``docs`` are left out.  An empty table gives an empty result."""
-    rows = leaks(docs.withColumn("missing", F.col("text").isNull()), benchmark, "lang", "source", "n_chars", "missing").where(F.size("items") < 2)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text"):
-            spans = part.column(part.schema.get_field_index("spans")).to_pylist()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            part = part.filter(pa.array([len(x) < 2 for x in part.column(8).to_pylist()], pa.bool_()))
+            spans = part.column(7).to_pylist()
             out = [without_spans(t, s) if s else t for t, s in zip(texts(part), spans)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary()), *part.columns[3:]], ["doc_id", "text", "changed", "lang", "source", "n_chars", "missing"])
+            changed = pa.array([len(s) > 0 for s in spans], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary()), *part.columns[2:6], changed], [*part.schema.names[:6], "changed"])
 
     kinds = dict(docs.dtypes)
-    rows = rows.select("doc_id", "text", "spans", (F.size("spans") > 0).alias("changed"), "lang", "source", "n_chars", "missing")
-    done = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, text binary, changed boolean, lang {kinds['lang']}, source {kinds['source']}, n_chars {kinds['n_chars']}, missing boolean")
+    schema = f"doc_id {kinds['doc_id']}, text binary, lang {kinds['lang']}, source {kinds['source']}, n_chars {kinds['n_chars']}, missing boolean, changed boolean"
+    done = leaks(docs.withColumn("missing", F.col("text").isNull()), benchmark, "lang", "source", "n_chars", "missing", then=cut, schema=schema)
     text = F.when(~F.col("missing"), F.col("text").cast("string"))
     n = F.when(F.col("changed"), F.char_length(F.col("text").cast("string")).cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
     return done.select("doc_id", text.alias("text"), "lang", "source", n.alias("n_chars"))
