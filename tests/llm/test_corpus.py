@@ -259,9 +259,10 @@ def test_fm_index_equals_search():
 def test_benchmark_in_blocks(spark, monkeypatch):
     own, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     want = canon(decontaminate.report(own, bench).toPandas())
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
+    cleaned = canon(decontaminate.clean(own, bench).toPandas())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10_000)
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 20_000)
-    assert canon(decontaminate.report(own, bench).toPandas()) == want
+    assert canon(decontaminate.report(own, bench).toPandas()) == want and canon(decontaminate.clean(own, bench).toPandas()) == cleaned
 
 
 def test_clean_cuts_spans(spark):
