@@ -33,11 +33,11 @@ def tolerance_join(
         raise ValueError(f"how is 'inner' or 'left', unit 'ppm' or 'Da'; not {how!r}, {unit!r}")
     t = F.col(target_mz)
     if unit == "ppm":
-        width = 2 * math.log1p(tolerance / 1e6)
+        width = math.log1p(tolerance / 1e6) - math.log1p(-tolerance / 1e6) + 1e-11  # more than a window, so two bins at most
         tol, bin_of = t * tolerance / 1e6, lambda x: _bin(x, width)
         low, high = (t - tol) * (1 - 1e-12), (t + tol) * (1 + 1e-12)
     else:
-        tol, bin_of = F.lit(float(tolerance)), lambda x: F.floor(x / (2 * tolerance)).cast("long")
+        tol, bin_of = F.lit(float(tolerance)), lambda x: F.floor(x / (2.000001 * tolerance)).cast("long")
         low, high = F.greatest(t - tol, F.lit(1e-12)), t + tol
     bins = F.when(t > 0, F.array_distinct(F.array(bin_of(low), bin_of(high)))).otherwise(F.array().cast("array<bigint>"))
     low, high = t - tol, t + tol
