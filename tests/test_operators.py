@@ -249,6 +249,17 @@ def test_left_tolerance_join_with_nulls(spark):
     assert got == [(1, 10), (1, 11), (2, 0), (2, 0), (3, 0), (4, 0)]
 
 
+@pytest.mark.parametrize("tolerance,unit", [(200.0, "ppm"), (3000.0, "ppm"), (1.0, "ppm"), (0.25, "Da")])
+def test_tolerance_join_finds_every_pair(spark, tolerance, unit):
+    """A wide window reaches over a bin's whole width; none of its peaks may lie in a bin between."""
+    rng = np.random.default_rng(3)
+    t, m = rng.uniform(400, 440, 400), rng.uniform(400, 440, 1500)
+    targets, peaks = spark.createDataFrame([(k, float(x)) for k, x in enumerate(t)], "id int, target_mz double"), spark.createDataFrame([(k, float(x)) for k, x in enumerate(m)], "peak_id int, mz double")
+    tol = t * tolerance / 1e6 if unit == "ppm" else np.full(400, tolerance)
+    want = {(i, j) for i in range(400) for j in np.flatnonzero((m >= t[i] - tol[i]) & (m <= t[i] + tol[i])).tolist()}
+    assert {(r.id, r.peak_id) for r in joins.tolerance_join(targets, peaks, tolerance, unit=unit).collect()} == want
+
+
 def test_match_in_daltons_and_by_ratio(spark):
     rng = np.random.default_rng(8)
     t, m, i = rng.uniform(100, 120, 60), rng.uniform(100, 120, 400), rng.uniform(1, 100, 400)
