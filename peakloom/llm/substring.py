@@ -12,9 +12,9 @@ Consecutive windows with one key are a segment, about one for every 18 words, an
 one document has is no repeat.  Where all segments of a key have the same words (a 64-bit polynomial hash of them, beside
 the key), those of all but the smallest document go at once.  A key whose segments differ lies at the edge of a repeat: of
 each variant the smallest document's segment stands for the others, and its windows are verified one by one, again by a
-hash of their 50 words beside the key.  All groups are sums with map-side combining.  They are joined back by broadcast
-where a key is hot (a bounded number of keys can be) and by shuffle elsewhere; the windows' join is split by adaptive
-execution where a window is hot.  No group of copies meets in one task.
+hash of their 50 words beside the key.  All groups are sums with map-side combining.  Keys are joined back
+by broadcast where they are hot (a bounded number of keys can be) and by shuffle elsewhere; joins of variants and windows
+are split by adaptive execution where one is hot.  No group of copies meets in one task.
 """
 
 from __future__ import annotations
@@ -169,7 +169,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     hits = stored(split_join(rows, shared, ["key"], total))
     variants = stored(hits.groupBy("key", "hash").agg(F.min("id").alias("least"), n))
     edges = stored(variants.groupBy("key").agg(n).where("n > 1"))
-    sided = split_join(hits, variants, ["key", "hash"], total)
+    sided = hits.join(variants.drop("n"), ["key", "hash"])  # of stored tables: adaptive execution splits a hot variant
     stand = split_join(sided.where("id = least"), edges, ["key"], total).groupBy("id", "print").agg(F.collect_list(F.struct("key", "span")).alias("segments"))
     windows = docs.join(stand, ["id", "print"]).select(*docs.columns, "segments").mapInArrow(_verify, f"id long, print long, windows {_WINDOWS}")
     each = windows.select("id", "print", F.explode("windows").alias("w")).select("id", "print", "w.*")
