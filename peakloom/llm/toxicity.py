@@ -9,6 +9,7 @@ tokens the forward-backward marginals expect.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ from .training import fold, sample
 BITS = 18
 #: Prefixes in bytes; how many differing toxic documents a marker needs, and how much likelier it is in toxic ones.
 PREFIXES, SUPPORT, ODDS = range(4, 9), 4, 25.0
+#: Documents whose so many least-hashed words agree are copies of one another.
+COPY_WORDS = 8
 #: Steps, learning rate and ridge of the fit.
 STEPS, RATE, RIDGE = 60, 0.3, 1e-6
 THRESHOLD = 0.7
@@ -150,8 +153,9 @@ def markers(documents: list[list[bytes]], toxic: list[int]) -> set[bytes]:
     Only what is in toxic documents is counted in the others, which bounds the counts by the smaller class."""
 
     def parts(own: list[bytes]) -> tuple[int, set[bytes]]:
-        distinct = set(own)  # near copies mostly share their least word
-        return min(xxhash.xxh64_intdigest(w, 17) for w in distinct), {b"w" + w for w in distinct} | {b"p" + w[:k] for w in distinct for k in PREFIXES if k <= len(w)}
+        distinct = set(own)
+        least = heapq.nsmallest(COPY_WORDS, (xxhash.xxh64_intdigest(w, 17) for w in distinct))  # mostly alike in near copies
+        return hash(tuple(least)), {b"w" + w for w in distinct} | {b"p" + w[:k] for w in distinct for k in PREFIXES if k <= len(w)}
 
     totals: tuple[set[int], set[int]] = (set(), set())
     seen: dict[bytes, set[int]] = defaultdict(set)
