@@ -8,8 +8,9 @@ wherever it occurs, and the highest-level one, that of the most words (then of t
 phrases are rare unless they are repeats.  A window without any symbol (one inside a long run, say) has a key of its own
 words.
 
-Consecutive windows with one key are a segment, about one for every 18 words, and only segments are exchanged.  A key that
-one document has is no repeat.  Where all segments of a key have the same words (a 64-bit polynomial hash of them, beside
+Consecutive windows with one key are a segment, about one for every 18 words, and only segments are exchanged; those of a
+document that have the same words are one row with all their places, so a text that repeats a few words over and over has a
+few rows and not one for each window.  A key that one document has is no repeat.  Where all segments of a key have the same words (a 64-bit polynomial hash of them, beside
 the key), those of all but the smallest document go at once.  A key whose segments differ lies at the edge of a repeat: of
 each variant the smallest document's segment stands for the others, and its windows are verified one by one, again by a
 hash of their 50 words beside the key.  All groups are sums with map-side combining.  Keys are joined back
@@ -31,9 +32,8 @@ from .common import WordNames, chunks, mixed, split_join, stored, text_bytes, te
 WINDOW, ROUNDS = 50, 3
 _LAST = (1 << 63) - 1  # a null doc_id comes after all others
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-#: span: the first and last window's start, as low << 32 | high.
-_SEGMENTS = "array<struct<key:long,hash:long,span:long>>"
-_WINDOWS = "array<struct<key:long,hash:long,start:int>>"
+#: spans: the first and last window's start of each place, as low << 32 | high.
+_SEGMENTS = "array<struct<key:long,hash:long,spans:array<long>>>"
 
 
 def _u(x: int) -> np.uint64:
@@ -109,9 +109,16 @@ class Parsed:
         return key
 
 
-def _list(owner: np.ndarray, n: int, columns: dict[str, np.ndarray]) -> pa.ListArray:
-    offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], names=list(columns)))
+def _grouped(owner: np.ndarray, n: int, key: np.ndarray, same: np.ndarray, span: np.ndarray) -> pa.ListArray:
+    """For each of n documents its distinct (key, hash), each with its spans in order."""
+    order = np.lexsort((same, key, owner))
+    owner, key, same, span = owner[order], key[order], same[order], span[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1]) | (same[1:] != same[:-1])
+    first = np.flatnonzero(new)
+    spans = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(span, pa.int64()))
+    offsets = np.searchsorted(owner[first], np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(key[first]), pa.array(same[first]), spans], names=["key", "hash", "spans"]))
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +131,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = parsed.owner[edge]
         shift = parsed.starts[owner]
         same = parsed.hashes(parsed.window[edge], parsed.window[last] + WINDOW).view(np.int64)
-        segments = _list(owner, part.num_rows, {"key": key[edge].view(np.int64), "hash": same, "span": (parsed.window[edge] - shift) << 32 | (parsed.window[last] - shift)})
+        segments = _grouped(owner, part.num_rows, key[edge].view(np.int64), same, (parsed.window[edge] - shift) << 32 | (parsed.window[last] - shift))
         yield pa.RecordBatch.from_arrays([*part.columns[:2], segments], ["id", "print", "segments"])
 
 
@@ -134,30 +141,30 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed = Parsed([t.split() for t in texts(part)], names)
         owner, key, start = [], [], []
         for k, segments in enumerate(part.column(part.schema.get_field_index("segments")).to_pylist()):
-            for s in sorted(segments, key=lambda s: s["span"]):
-                low, high = divmod(s["span"], 1 << 32)
+            for span, own in sorted((span, s["key"]) for s in segments for span in s["spans"]):
+                low, high = divmod(span, 1 << 32)
                 owner.append(np.full(high - low + 1, k))
-                key.append(np.full(high - low + 1, s["key"], dtype=np.int64))
+                key.append(np.full(high - low + 1, own, dtype=np.int64))
                 start.append(np.arange(low, high + 1))
         none = np.zeros(0, np.int64)
         owner, key, start = (np.concatenate(x or [none]) for x in (owner, key, start))
         first = start + parsed.starts[owner]
-        wins = _list(owner, part.num_rows, {"key": key, "hash": parsed.hashes(first, first + WINDOW).view(np.int64), "start": start.astype(np.int32)})
-        yield pa.RecordBatch.from_arrays([*part.columns[:2], wins], ["id", "print", "windows"])
+        windows = _grouped(owner, part.num_rows, key, parsed.hashes(first, first + WINDOW).view(np.int64), start << 32 | start)
+        yield pa.RecordBatch.from_arrays([*part.columns[:2], windows], ["id", "print", "windows"])
 
 
-def kept_words(words: list[bytes], ranges: list[dict] | None) -> list[bytes]:
-    """Without the words of the windows that start in the ranges [low, high]."""
+def kept_words(words: list[bytes], ranges: list[int] | None) -> list[bytes]:
+    """Without the words of the windows that start in the ranges [low, high], each given as low << 32 | high."""
     if not ranges:
         return words
-    edge = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(edge, np.array([r["low"] for r in ranges]), 1)
-    np.add.at(edge, np.array([r["high"] for r in ranges]) + WINDOW, -1)
+    edge, spans = np.zeros(len(words) + 1, dtype=np.int64), np.array(ranges, dtype=np.int64)
+    np.add.at(edge, spans >> 32, 1)
+    np.add.at(edge, (spans & 0xFFFFFFFF) + WINDOW, -1)
     return [words[k] for k in np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()]
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(id, print, ranges array<struct<low,high>>): where removed windows start in the texts that have any.
+    """(id, print, ranges array<long>): where removed windows start, as low << 32 | high, in the texts that have any.
 
     ``docs`` has id, print (a hash of the text) and text (bytes), and maybe more columns, which are kept in the text's
     shuffle so that a later join by id and print can use it again."""
@@ -170,16 +177,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     variants = stored(hits.groupBy("key", "hash").agg(F.min("id").alias("least"), n))
     edges = stored(variants.groupBy("key").agg(n).where("n > 1"))
     sided = hits.join(variants.drop("n"), ["key", "hash"])  # of stored tables: adaptive execution splits a hot variant
-    stand = split_join(sided.where("id = least"), edges, ["key"], total).groupBy("id", "print").agg(F.collect_list(F.struct("key", "span")).alias("segments"))
-    windows = docs.join(stand, ["id", "print"]).select(*docs.columns, "segments").mapInArrow(_verify, f"id long, print long, windows {_WINDOWS}")
+    stand = split_join(sided.where("id = least"), edges, ["key"], total).groupBy("id", "print").agg(F.collect_list(F.struct("key", "spans")).alias("segments"))
+    windows = docs.join(stand, ["id", "print"]).select(*docs.columns, "segments").mapInArrow(_verify, f"id long, print long, windows {_SEGMENTS}")
     each = windows.select("id", "print", F.explode("windows").alias("w")).select("id", "print", "w.*")
     # a group-by right below a join would tie the join's partitions to its own and keep a hot window whole: so the join's
     # key is another column than the group's, and adaptive execution can split it
     apart = F.col("hash").bitwiseXOR(F.lit(1))
     least = each.groupBy("key", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", apart.alias("apart"), "least")
-    single = each.withColumn("apart", apart).join(least, ["key", "apart"]).where("id > least").select("id", "print", F.col("start").alias("low"), F.col("start").alias("high"))
-    whole = sided.where("id > least").select("id", "print", F.shiftright("span", 32).cast("int").alias("low"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("high"))
-    return whole.unionByName(single).groupBy("id", "print").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    single = each.withColumn("apart", apart).join(least, ["key", "apart"]).where("id > least").select("id", "print", "spans")
+    whole = sided.where("id > least").select("id", "print", "spans")
+    return whole.unionByName(single).groupBy("id", "print").agg(F.flatten(F.collect_list("spans")).alias("ranges"))
 
 
 def _prepared(docs: DataFrame, *more: str) -> DataFrame:

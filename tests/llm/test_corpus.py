@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -493,11 +494,23 @@ def test_repeats_equal_brute_force(spark):
         a, b = sorted(rng.integers(0, 260, 2))
         texts.append(" ".join(word(int(rng.integers(0, 90)), 300) + shared[a:b] + word(int(rng.integers(0, 90)), 300)))
     texts += ["a " * n for n in (49, 50, 51, 120)] + ["a b " * n for n in (24, 25, 40)] + ["a a b " * 30, "c " * 60 + "d " * 60, "x " + "c " * 60 + "d " * 55, " ".join(shared), " ".join(shared)]
+    texts += ["q r " * 300, "x " * 7 + "q r " * 200 + " ".join(shared[:70]), "r q r s " * 90 + "q r " * 60, "q r s r " * 80]
     ids = rng.permutation(len(texts)).tolist()
     got = {r.doc_id: r.n_removed for r in substring.report(docs(spark, texts, ids)).collect()}
     assert [got[i] for i in ids] == slow_repeats(texts, ids)
 
 
+def test_a_text_of_few_words_has_few_segments():
+    texts = [b"q r " * 2000, b"", b"s t u " * 500 + b"q r " * 100]
+    batch = pa.RecordBatch.from_pydict({"id": [3, 1, 2], "print": [0, 0, 0], "text": pa.array(texts, pa.binary())})
+    out = next(substring._parse(iter([batch]))).to_pylist()
+    assert [r["id"] for r in out] == [3, 1, 2] and out[1]["segments"] == [] and len(out[0]["segments"]) <= 4
+    for text, row in zip(texts, out):
+        spans = sorted(divmod(x, 1 << 32) for s in row["segments"] for x in s["spans"])
+        assert [k for low, high in spans for k in range(low, high + 1)] == list(range(max(0, len(text.split()) - 49)))
+        assert len({(s["key"], s["hash"]) for s in row["segments"]}) == len(row["segments"])
+
+
 def test_equal_windows_have_equal_keys():
     rng = np.random.default_rng(6)
     middle = [b"%d" % x for x in rng.integers(0, 3, 90)]
@@ -539,6 +552,17 @@ def test_labels_of_held_out_rows_are_not_read(spark):
         assert canon(module.report(own, labels).toPandas()) == canon(module.report(own, other).toPandas())
 
 
+def test_copies_count_once_among_markers():
+    rng = np.random.default_rng(12)
+    text = lambda n=30: [b"w%d" % x for x in rng.integers(0, 900, n)]
+    clean, one = [text() for _ in range(300)], text()
+    copies = [one + [b"vile"]] * toxicity.SUPPORT * 2
+    apart = [text() + [b"common", b"vile"] for _ in range(toxicity.SUPPORT)]
+    marked = lambda toxic: toxicity.markers(clean + toxic, [0] * len(clean) + [1] * len(toxic))
+    assert b"wvile" not in marked(copies) and {b"wvile", b"pvile", b"wcommon"} <= marked(apart)
+    assert marked([[], []]) == toxicity.markers([], []) == set()
+
+
 def test_chains_equal_plain_recursion():
     rng = np.random.default_rng(7)
     lengths = np.array([1, 0, 300, 128, 129, 5, 1000])
