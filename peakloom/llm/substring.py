@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,8 +111,10 @@ class Parsed:
 
 
 def _grouped(owner: np.ndarray, n: int, key: np.ndarray, same: np.ndarray, span: np.ndarray) -> pa.ListArray:
-    """For each of n documents its distinct (key, hash), each with its spans in order."""
-    order = np.lexsort((same, key, owner))
+    """For each of n documents its (key, hash), each with its spans in any order.
+
+    Rows are sorted by one number; where two different pairs agree in its 40 bits, one of them may come more than once."""
+    order = np.argsort(owner.astype(np.uint64) << _u(40) | mixed(key.view(np.uint64) ^ mixed(same.view(np.uint64))) >> _u(24))
     owner, key, same, span = owner[order], key[order], same[order], span[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1]) | (same[1:] != same[:-1])
@@ -139,15 +142,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = WordNames(1)
     for part in chunks(batches, "text"):
         parsed = Parsed([t.split() for t in texts(part)], names)
-        owner, key, start = [], [], []
-        for k, segments in enumerate(part.column(part.schema.get_field_index("segments")).to_pylist()):
-            for span, own in sorted((span, s["key"]) for s in segments for span in s["spans"]):
-                low, high = divmod(span, 1 << 32)
-                owner.append(np.full(high - low + 1, k))
-                key.append(np.full(high - low + 1, own, dtype=np.int64))
-                start.append(np.arange(low, high + 1))
-        none = np.zeros(0, np.int64)
-        owner, key, start = (np.concatenate(x or [none]) for x in (owner, key, start))
+        segments = part.column(part.schema.get_field_index("segments"))
+        each = segments.flatten()
+        places = each.field("spans")
+        n_places = pc.list_value_length(places).to_numpy()
+        span = places.flatten().to_numpy()
+        low, count = span >> 32, (span & 0xFFFFFFFF) - (span >> 32) + 1
+        owner = np.repeat(np.repeat(np.repeat(np.arange(part.num_rows), pc.list_value_length(segments).to_numpy()), n_places), count)
+        key = np.repeat(np.repeat(each.field("key").to_numpy(), n_places), count)
+        start = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
         first = start + parsed.starts[owner]
         windows = _grouped(owner, part.num_rows, key, parsed.hashes(first, first + WINDOW).view(np.int64), start << 32 | start)
         yield pa.RecordBatch.from_arrays([*part.columns[:2], windows], ["id", "print", "windows"])
