@@ -208,21 +208,26 @@ _RUN = """{name} AS (SELECT {keys}, max(n) AS longest FROM (SELECT {keys}, g, co
   (SELECT {keys}, position, k, CASE WHEN position - lag(position) OVER (PARTITION BY {keys} ORDER BY position, k) = 1 THEN 0 ELSE 1 END AS o FROM (SELECT *, {unique} AS k FROM {source}))) GROUP BY ALL) GROUP BY {keys})"""
 
 
-@R.add("psm_features", _RUN.format(name="lr", keys="psm_id, ion_type", source="v_matches", unique="fragment") + """, p AS (SELECT DISTINCT psm_id, 12 AS len, CAST(psm_id % 4 + 1 AS INTEGER) AS pc, CAST(psm_id * 10.0 AS DOUBLE) AS pi, 40 + psm_id AS nt FROM v_matches),
+_PSM = _RUN.format(name="lr", keys="psm_id, ion_type", source="v_matches", unique="fragment") + """, p AS (SELECT DISTINCT psm_id, 12 AS len, CAST(psm_id % 4 + 1 AS INTEGER) AS pc, CAST(psm_id * 10.0 AS DOUBLE) AS pi, 40 + psm_id AS nt FROM v_matches),
   a AS (SELECT psm_id, CAST(count(*) AS DOUBLE) AS match_count, sum(intensity) AS total_intensity, avg(intensity) AS mean_intensity, max(intensity) AS max_intensity, median(intensity) AS median_intensity, stddev_pop(intensity) AS intensity_std,
     avg(abs(ppm)) AS mean_abs_ppm_error, stddev_pop(ppm) AS ppm_error_std, max(abs(ppm)) AS max_abs_ppm_error, avg(rt_diff) AS mean_rt_diff, stddev_pop(rt_diff) AS std_rt_diff, max(rt_diff) AS max_rt_diff, min(rt_diff) AS min_rt_diff, median(rt_diff) AS median_rt_diff,
     CAST(count(*) FILTER (ion_type = 0) AS DOUBLE) AS n_b_ions, CAST(count(*) FILTER (ion_type = 1) AS DOUBLE) AS n_y_ions, CAST(count(*) FILTER (position > 8) AS DOUBLE) AS n_high_mass_ions, CAST(count(*) FILTER (position < 3) AS DOUBLE) AS n_low_mass_ions,
     CASE WHEN count(*) > 1 THEN CAST(max(position) - min(position) AS DOUBLE) / (count(*) - 1) ELSE 0 END AS mean_fragment_spacing,
-    array_to_string(list((CASE WHEN ion_type = 0 THEN 'b' ELSE 'y' END) || position || '_' || charge || ':' || printf('%.1f', intensity) ORDER BY fragment), '|') AS matched_fragments_string FROM v_matches GROUP BY psm_id)
-  :: SELECT a.*, coalesce(CAST(b.longest AS DOUBLE), 0) AS b_series_continuity, coalesce(CAST(y.longest AS DOUBLE), 0) AS y_series_continuity, pi AS precursor_intensity, CAST(pc AS DOUBLE) AS precursor_charge, match_count / nt AS coverage, match_count / nt AS match_efficiency,
+    array_to_string(list((CASE WHEN ion_type = 0 THEN 'b' ELSE 'y' END) || position || '_' || charge || ':' || printf('%.1f', intensity) ORDER BY fragment), '|') AS matched_fragments_string FROM v_matches GROUP BY psm_id)"""
+_PSM_ROWS = """SELECT a.*, coalesce(CAST(b.longest AS DOUBLE), 0) AS b_series_continuity, coalesce(CAST(y.longest AS DOUBLE), 0) AS y_series_continuity, pi AS precursor_intensity, CAST(pc AS DOUBLE) AS precursor_charge, match_count / nt AS coverage, match_count / nt AS match_efficiency,
     CASE WHEN mean_intensity > 0 THEN max_intensity / mean_intensity ELSE 0 END AS intensity_snr, n_y_ions / greatest(n_b_ions, 1) AS y_to_b_ratio, greatest(coalesce(b.longest, 0), coalesce(y.longest, 0)) AS max_continuity, match_count - n_high_mass_ions - n_low_mass_ions AS n_mid_mass_ions
-    FROM a JOIN p USING (psm_id) LEFT JOIN lr b ON b.psm_id = a.psm_id AND b.ion_type = 0 LEFT JOIN lr y ON y.psm_id = a.psm_id AND y.ion_type = 1""",
-    "total_intensity mean_intensity max_intensity median_intensity intensity_std mean_abs_ppm_error ppm_error_std max_abs_ppm_error mean_rt_diff std_rt_diff max_rt_diff min_rt_diff median_rt_diff mean_fragment_spacing coverage match_efficiency intensity_snr y_to_b_ratio max_continuity precursor_intensity", 9)
-def _(v, spark):
-    own = v("v_matches")
+    FROM a JOIN p USING (psm_id) LEFT JOIN lr b ON b.psm_id = a.psm_id AND b.ion_type = 0 LEFT JOIN lr y ON y.psm_id = a.psm_id AND y.ion_type = 1"""
+_PSM_DOUBLES = "total_intensity mean_intensity max_intensity median_intensity intensity_std mean_abs_ppm_error ppm_error_std max_abs_ppm_error mean_rt_diff std_rt_diff max_rt_diff min_rt_diff median_rt_diff mean_fragment_spacing coverage match_efficiency intensity_snr y_to_b_ratio max_continuity precursor_intensity"
+
+
+def _psms(v):
     k = F.col("psm_id")
-    psms = own.select("psm_id").distinct().select("psm_id", F.lit("PEPTIDEPEPTR").alias("peptide"), (k % 4 + 1).cast("int").alias("precursor_charge"), (k * 10).cast("double").alias("precursor_intensity"), (40 + k).alias("n_theoretical"))
-    return psm.psm_features(own, psms)
+    return v("v_matches").select("psm_id").distinct().select("psm_id", F.lit("PEPTIDEPEPTR").alias("peptide"), (k % 4 + 1).cast("int").alias("precursor_charge"), (k * 10).cast("double").alias("precursor_intensity"), (40 + k).alias("n_theoretical"))
+
+
+@R.add("psm_features", f"{_PSM}:: {_PSM_ROWS}", _PSM_DOUBLES, 9)
+def _(v, spark):
+    return psm.psm_features(v("v_matches"), _psms(v))
 
 
 _CORR = "corr({x}, {y})"
@@ -291,14 +296,37 @@ def _(v, spark):
     return features.neutral_losses(tg, v("v_peaks"), 20.0)
 
 
-@R.add("ms2_isotopes", f"""m AS (SELECT scan AS psm_id, peak_id AS fragment, mz AS m0, intensity AS i0, 1 + peak_id % 2 AS charge, mz * 2 AS mass FROM v_peaks), b AS (SELECT m.*, intensity / i0 / (mass * {AVERAGINE!r}) AS q, row_number() OVER (PARTITION BY m.psm_id, m.fragment ORDER BY intensity DESC, peak_id) AS rk
-  FROM m JOIN v_peaks p ON p.intensity > 0 AND p.mz BETWEEN m0 + {ISOTOPE_SPACING} / charge - (m0 + {ISOTOPE_SPACING} / charge) * 30.0 / 1e6 AND m0 + {ISOTOPE_SPACING} / charge + (m0 + {ISOTOPE_SPACING} / charge) * 30.0 / 1e6)
+_MS2 = f"""b AS (SELECT m.*, intensity / i0 / (mass * {AVERAGINE!r}) AS q, row_number() OVER (PARTITION BY m.psm_id, m.fragment ORDER BY intensity DESC, peak_id) AS rk
+  FROM m JOIN v_peaks p ON p.intensity > 0 AND p.mz BETWEEN m0 + {ISOTOPE_SPACING} / charge - (m0 + {ISOTOPE_SPACING} / charge) * 30.0 / 1e6 AND m0 + {ISOTOPE_SPACING} / charge + (m0 + {ISOTOPE_SPACING} / charge) * 30.0 / 1e6)"""
+
+
+@R.add("ms2_isotopes", f"""m AS (SELECT scan AS psm_id, peak_id AS fragment, mz AS m0, intensity AS i0, 1 + peak_id % 2 AS charge, mz * 2 AS mass FROM v_peaks), {_MS2}
   :: SELECT m.psm_id, count(*) AS n_matched, count(*) FILTER (q BETWEEN 0.5 AND 2.0) AS n_isotope, count(*) FILTER (q BETWEEN 0.5 AND 2.0) / count(*) AS fraction FROM m LEFT JOIN (SELECT * FROM b WHERE rk = 1) b USING (psm_id, fragment) GROUP BY m.psm_id""", "fraction")
 def _(v, spark):
     own = v("v_peaks").select(F.col("scan").alias("psm_id"), F.col("peak_id").alias("fragment"), "mz", F.col("intensity").alias("m0_intensity"), (1 + F.col("peak_id") % 2).alias("charge"), (F.col("mz") * 2).alias("mass"))
     return features.fragment_isotopes(own, v("v_peaks").select("peak_id", "mz", "intensity"), 30.0)
 
 
+_EXTENDED = _PSM + f""", f AS ({_PSM_ROWS}), s AS (SELECT psm_id, intensity AS x, CASE WHEN fragment % 3 > 0 THEN 100.0 - ppm END AS y FROM v_matches),
+  c AS (SELECT psm_id, CASE WHEN count(y) >= 3 THEN coalesce(corr(x, y) FILTER (y IS NOT NULL), 0) ELSE 0 END AS fragment_intensity_correlation FROM s GROUP BY psm_id),
+  ms1 AS (WITH {_envelope_sql(f"tg AS (SELECT psm_id AS key, (200.0 + (CAST(psm_id AS DOUBLE) * 37.5) % 1800.0) * pc - pc * CAST({PROTON} AS DOUBLE) AS mass, pc AS charge FROM p)", "key", 5, 20.0)} SELECT key AS psm_id, {_SCORE.format(n=5)} AS ms1_isotope_score FROM a),
+  ms2 AS (WITH m AS (SELECT psm_id, fragment, 200.0 + (CAST(fragment AS DOUBLE) * 7.25) % 1500.0 AS m0, 6000.0 + intensity AS i0, charge, (200.0 + (CAST(fragment AS DOUBLE) * 7.25) % 1500.0) * charge AS mass FROM v_matches), {_MS2.replace("30.0", "100.0")}
+    SELECT m.psm_id, count(*) FILTER (q BETWEEN 0.5 AND 2.0) / count(*) AS ms2_isotope_fraction FROM m LEFT JOIN (SELECT * FROM b WHERE rk = 1) b USING (psm_id, fragment) GROUP BY m.psm_id)
+  :: SELECT f.*, coalesce(fragment_intensity_correlation, 0) AS fragment_intensity_correlation, coalesce(ms1_isotope_score, 0) AS ms1_isotope_score, coalesce(ms2_isotope_fraction, 0) AS ms2_isotope_fraction,
+    CAST(CASE WHEN ms2_isotope_fraction >= 0.5 THEN 0.15 WHEN ms2_isotope_fraction >= 0.3 THEN 0.05 ELSE 0 END AS DOUBLE) AS ms2_isotope_recommended_weight
+    FROM f LEFT JOIN c USING (psm_id) LEFT JOIN ms1 USING (psm_id) LEFT JOIN ms2 USING (psm_id)"""
+
+
+@R.add("extended_features", _EXTENDED, _PSM_DOUBLES + " fragment_intensity_correlation ms1_isotope_score ms2_isotope_fraction ms2_isotope_recommended_weight", 5)
+def _(v, spark):
+    own, psms, k, peaks = v("v_matches"), _psms(v), F.col("psm_id").cast("double"), v("v_peaks").select("peak_id", "mz", "intensity")
+    predicted = own.select("psm_id", "ion_type", F.col("intensity").alias("predicted"), F.when(F.col("fragment") % 3 > 0, 100.0 - F.col("ppm")).alias("observed"))
+    z, mz = F.col("precursor_charge"), 200.0 + (F.col("fragment").cast("double") * 7.25) % 1500.0
+    precursors = psms.select("psm_id", ((200.0 + (k * 37.5) % 1800.0) * z - z * PROTON).alias("mass"), z.alias("charge"))
+    fragments = own.select("psm_id", "fragment", mz.alias("mz"), (6000.0 + F.col("intensity")).alias("m0_intensity"), "charge", (mz * F.col("charge")).alias("mass"))
+    return psm.all_features(own, psms, predicted, precursors, peaks, fragments, peaks, ms1_ppm=20.0, ms2_ppm=100.0)
+
+
 @R.add("cluster_of_peak", f"""c AS (SELECT peak_id AS key, mz AS m0 FROM v_peaks), h AS (SELECT key, z, off, k, m0 + (k - off) * CAST({ISOTOPE_SPACING} AS DOUBLE) / z AS target_mz FROM c, (SELECT unnest([1, 2, 3, 4]) AS z), (SELECT unnest([0, 1, 2, 3]) AS off), (SELECT unnest(generate_series(0, 4)) AS k)),
   b AS (SELECT h.*, mz, row_number() OVER (PARTITION BY key, z, off, k ORDER BY intensity DESC, peak_id) AS rk FROM h JOIN v_peaks ON intensity > 0 AND target_mz > 0 AND mz BETWEEN target_mz - target_mz * 20.0 / 1e6 AND target_mz + target_mz * 20.0 / 1e6),
   g AS (SELECT *, (mz - lag(mz) OVER (PARTITION BY key, z, off ORDER BY k)) / (CAST({ISOTOPE_SPACING} AS DOUBLE) / z) AS gap FROM b WHERE rk = 1),

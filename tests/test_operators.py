@@ -200,6 +200,22 @@ def test_psm_and_dda(spark):
     assert {r.psm_id: r.corr for r in more.collect()} == {1: 0.5, 2: 0.0}
 
 
+def test_all_features_of_rescoring(spark):
+    psms = spark.createDataFrame([(1, "PEPTIDEK", 2, 5.0, 10), (2, "AAAK", 3, 1.0, 4)], "psm_id long, peptide string, precursor_charge int, precursor_intensity double, n_theoretical int")
+    matches = spark.createDataFrame([(1, k, k % 2, k + 1, 1, 10.0, 1.0, 2.0) for k in range(4)], "psm_id long, fragment long, ion_type int, position int, charge int, intensity double, ppm double, rt_diff double")
+    predicted = spark.createDataFrame([(1, k % 2, 0.1 * k, None if k == 3 else 5.0 - k) for k in range(4)], "psm_id long, ion_type int, predicted double, observed double")
+    precursors = spark.createDataFrame([(1, 1000.0, 2), (2, 1600.0, 3)], "psm_id long, mass double, charge int")
+    ms1 = spark.createDataFrame([(1, (1000.0 + 2 * constants.PROTON) / 2, 100.0)], "peak_id long, mz double, intensity double")
+    fragments = spark.createDataFrame([(1, 0, 300.0, 100.0, 1, 300.0), (1, 1, 400.0, 100.0, 1, 400.0), (1, 2, 500.0, 100.0, 1, 500.0)], "psm_id long, fragment long, mz double, m0_intensity double, charge int, mass double")
+    ms2 = spark.createDataFrame([(1, 300.0 + constants.ISOTOPE_SPACING, 100 * 300 * constants.AVERAGINE), (2, 400.0 + constants.ISOTOPE_SPACING, 1e6)], "peak_id long, mz double, intensity double")
+    got = {r.psm_id: r for r in psm.all_features(matches, psms, predicted, precursors, ms1, fragments, ms2).collect()}
+    assert len(got) == 2 and len(got[1]) == 35
+    assert got[1].fragment_intensity_correlation == pytest.approx(-1.0)  # of the three that were found
+    assert 0.3 < got[1].ms1_isotope_score < 1
+    assert got[1].ms2_isotope_fraction == pytest.approx(1 / 3) and got[1].ms2_isotope_recommended_weight == 0.05  # one M+1 of three, one far too strong
+    assert [got[2][c] for c in ("fragment_intensity_correlation", "ms1_isotope_score", "ms2_isotope_fraction", "ms2_isotope_recommended_weight", "match_count")] == [0.0] * 5
+
+
 def test_index_search_counts_each_posting(spark):
     frags = spark.createDataFrame([(1, 500.0), (1, 500.0), (2, 700.0)], "pep_id long, mz float")
     peaks = spark.createDataFrame([(1, 500.0, 4.0)], "spectrum long, mz double, intensity double")
