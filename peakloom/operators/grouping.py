@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import tolerance_join
-from .windows import runs
+from .windows import runs, shared_checkpoints
 
 #: Peaks within so many ppm are one m/z.
 SAME_PPM = 11.0
@@ -43,10 +43,12 @@ def assign(frame: pd.DataFrame) -> pd.DataFrame:
 def rt_profiles(references: DataFrame, peaks: DataFrame, ppm: float = 10.0, scan_window: int = 5) -> DataFrame:
     """(ref_id, profile, center, scan, intensity): chromatograms of the m/z groups around each reference; zeros are absent.
 
-    A reference's neighbourhood is bounded by its m/z and scan windows, so one task holds little whatever the run's size."""
+    A reference's neighbourhood is bounded by its m/z and scan windows, so one task holds little whatever the run's size.
+    The result is checkpointed: what follows reads it several times, and the groups are made once."""
     near = neighborhood(references, peaks, ppm, scan_window).select("ref_id", "peak_id", "mz", "scan", "intensity")
     own = near.groupBy("ref_id").applyInPandas(assign, "ref_id long, peak_id long, profile int, center double, mz double, scan int, intensity double")
-    return own.groupBy("ref_id", "profile", "center", "scan").agg(F.sum("intensity").alias("intensity"))
+    shared_checkpoints(peaks.sparkSession)
+    return own.groupBy("ref_id", "profile", "center", "scan").agg(F.sum("intensity").alias("intensity")).checkpoint()
 
 
 def coeluting(profiles: DataFrame, least: float = 0.8) -> DataFrame:
