@@ -410,3 +410,22 @@ def test_every_target_is_a_reference(spark, tmp_path):
     peaks = [(k, c % 50, 200 + t % 1800, 100 + t * 13 % 9000) for k, c, t in orders]
     want = {(k, p) for k, price in parts for p in slow_group(200 + price * 1.37 % 1800, peaks[k % 400][1], peaks)}
     assert got == want and {k // 400 for k, _ in got} == {0, 1, 2, 3}
+
+
+def test_q_values_have_no_frame_that_ends_at_the_last_row(spark):
+    """Such a frame is computed anew for every row, so its time grows as the square."""
+    from peakloom.operators import fdr
+
+    rows = [(k, float((k * 7919) % 101), k % 3 == 0, k % 2) for k in range(500)]
+    psms = spark.createDataFrame(rows, "psm_id long, score double, is_decoy boolean, tier long")
+    for tier in (None, "tier"):
+        out = fdr.target_decoy_q(psms, tier=tier)
+        assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+        got = {r["psm_id"]: r["q_value"] for r in out.collect()}
+        for part in {r[3] for r in rows} if tier else {None}:
+            own = sorted((r for r in rows if part is None or r[3] == part), key=lambda r: (-r[1], r[0]))
+            rates, decoys = [], 0
+            for k, r in enumerate(own):
+                decoys += r[2]
+                rates.append(decoys / max(k + 1 - decoys, 1))
+            assert all(abs(got[r[0]] - min(1.0, min(rates[k:]))) < 1e-12 for k, r in enumerate(own))
