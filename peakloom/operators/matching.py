@@ -66,5 +66,5 @@ def score_matches(predicted: DataFrame, theoretical: DataFrame, peaks: DataFrame
     key = ["psm_id", "ion_type", "position", "frag_charge"]
     own = predicted.where(F.col("intensity") >= least).select(*key, F.col("intensity").alias("predicted")).join(theoretical.select(*key, "target_mz"), key)
     near = peaks.select(F.col("psm_id").alias("__of"), "peak_id", "mz", F.col("intensity").alias("observed"))
-    found = match(own, near, tolerance, "nearest", key, where=F.col("__of") == F.col("psm_id"), unit="Da", intensity="observed").select(*key, "observed")
+    found = match(own, near, tolerance, "nearest", key, same={"psm_id": "__of"}, unit="Da", intensity="observed").select(*key, "observed")
     return own.select(*key, "predicted").join(found, key, "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,9 +21,35 @@ MOST_CENTERS = 10_000
 def xic(targets: DataFrame, peaks: DataFrame, ppm: float = 10.0) -> DataFrame:
     """(pep_id, frag_id, target_mz, scan, intensity, mass_sum, n): a sparse chromatogram; absent scans are zero.
 
-    targets: pep_id, frag_id, target_mz; peaks: scan, mz, intensity."""
-    pairs = tolerance_join(targets, peaks, ppm)
-    return pairs.groupBy("pep_id", "frag_id", "target_mz", "scan").agg(F.sum("intensity").alias("intensity"), F.sum(F.col("mz") * F.col("intensity")).alias("mass_sum"), F.count(F.lit(1)).alias("n"))
+    targets: pep_id, frag_id, target_mz; peaks: scan, mz, intensity.  Peaks of one m/z and scan are added up first, and
+    targets of one m/z share a chromatogram, so pairs grow with distinct m/z; only the result has a row for each target."""
+    added = peaks.groupBy("mz", "scan").agg(F.sum("intensity").alias("intensity"), F.sum(F.col("mz") * F.col("intensity")).alias("mass_sum"), F.count(F.lit(1)).alias("n"))
+    pairs = tolerance_join(targets.select("target_mz").distinct(), added, ppm)
+    found = pairs.groupBy(F.col("target_mz").alias("__target"), "scan").agg(F.sum("intensity").alias("intensity"), F.sum("mass_sum").alias("mass_sum"), F.sum("n").alias("n"))
+    many = targets.groupBy("pep_id", "frag_id", "target_mz").agg(F.count(F.lit(1)).alias("__times"))
+    out = many.join(found.hint("merge"), F.col("target_mz") == F.col("__target"))
+    return out.select("pep_id", "frag_id", "target_mz", "scan", *[(F.col(c) * F.col("__times")).alias(c) for c in ("intensity", "mass_sum", "n")])
+
+
+def _grid(fragments: DataFrame, peaks: DataFrame, name: str, places: Column, ppm: float) -> DataFrame:
+    """(frag_id, name, intensity): the signal of each fragment at each of ``places`` (an array), 0 where there is none.
+
+    Peaks of one m/z and place are added up first, fragments of one m/z share a profile, and profiles are filled before they
+    are laid beside the fragments: dense rows are never exchanged.  Only an id that several rows have is added up after."""
+    added = peaks.groupBy("mz", name).agg(F.sum("intensity").alias("intensity"))
+    found = tolerance_join(fragments.select("target_mz").distinct(), added, ppm).groupBy("target_mz", name).agg(F.sum("intensity").alias("intensity"))
+    found = found.groupBy(F.col("target_mz").alias("__target")).agg(F.map_from_entries(F.collect_list(F.struct(name, "intensity"))).alias("__at"))
+    found = found.select("__target", F.transform(places, lambda p: F.struct(p.alias(name), F.coalesce(F.try_element_at("__at", p), F.lit(0.0)).alias("intensity"))).alias("__filled"))
+    none = F.transform(places, lambda p: F.struct(p.alias(name), F.lit(0.0).alias("intensity")))
+    own = fragments.groupBy("frag_id").agg(F.collect_list("target_mz").alias("__mz"), F.count(F.lit(1)).alias("__rows"))
+    alone = (F.col("__rows") == 1) | F.col("frag_id").isNull()
+    one = own.where(alone).select("frag_id", "__rows", F.when(F.col("frag_id").isNotNull(), F.get("__mz", F.lit(0))).alias("__mz"))
+    one = one.join(found.hint("merge"), F.col("__mz") == F.col("__target"), "left").select("frag_id", "__rows", F.inline(F.coalesce("__filled", none)))
+    # ids of several rows: each row has the sum over all of them
+    more = own.where(~alone).select("frag_id", "__rows", F.explode_outer("__mz").alias("__mz")).join(found.hint("merge"), F.col("__mz") == F.col("__target"), "left")
+    more = more.select("frag_id", "__rows", F.inline(F.coalesce("__filled", none))).groupBy("frag_id", "__rows", name).agg(F.sum("intensity").alias("intensity"))
+    out = one.unionByName(more)
+    return out.select("frag_id", name, "intensity", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rows"))).alias("__k")).drop("__k")
 
 
 def mass_errors(chromatograms: DataFrame) -> DataFrame:
@@ -71,10 +97,8 @@ def q1_profile(fragments: DataFrame, spectra: DataFrame, peaks: DataFrame, precu
     if len(centers) > MOST_CENTERS:
         raise ValueError(f"more than {MOST_CENTERS} quadrupole centres in reach")
     # a dense output is asked for: each fragment has a row at every centre
-    grid = fragments.select("frag_id", F.explode(F.lit([r["q1"] for r in centers]).cast("array<float>")).alias("q1"))
     in_time = near.where(F.abs(F.col("rt_sec") - rt) <= rt_window).select("scan_id", "q1")
-    hits = tolerance_join(fragments, peaks.join(in_time, "scan_id"), ppm).groupBy("frag_id", "q1").agg(F.sum("intensity").alias("intensity"))
-    return grid.join(hits, ["frag_id", "q1"], "left").fillna(0.0, ["intensity"])
+    return _grid(fragments, peaks.join(in_time, "scan_id").select("mz", "q1", "intensity"), "q1", F.lit([r["q1"] for r in centers]).cast("array<float>"), ppm)
 
 
 def rt_profile(fragments: DataFrame, spectra: DataFrame, peaks: DataFrame, rt: float, rt_window: float, n_bins: int = 50, ppm: float = 20.0) -> DataFrame:
@@ -82,9 +106,8 @@ def rt_profile(fragments: DataFrame, spectra: DataFrame, peaks: DataFrame, rt: f
     width = 2 * rt_window / (n_bins - 1)
     low = rt - rt_window
     in_time = spectra.where(F.abs(F.col("rt_sec") - rt) <= rt_window).select("scan_id", F.least(F.lit(n_bins - 1), F.greatest(F.lit(0), F.floor((F.col("rt_sec") - low) / width))).cast("int").alias("rt_bin"))
-    hits = tolerance_join(fragments, peaks.join(in_time, "scan_id"), ppm).groupBy("frag_id", "rt_bin").agg(F.sum("intensity").alias("intensity"))
-    grid = fragments.select("frag_id", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("rt_bin"))
-    return grid.join(hits, ["frag_id", "rt_bin"], "left").fillna(0.0, ["intensity"]).withColumn("rt_sec", F.lit(low) + F.col("rt_bin") * width)
+    out = _grid(fragments, peaks.join(in_time, "scan_id").select("mz", "rt_bin", "intensity"), "rt_bin", F.sequence(F.lit(0), F.lit(n_bins - 1)), ppm)
+    return out.withColumn("rt_sec", F.lit(low) + F.col("rt_bin") * width)
 
 
 def kernel_correlation(profile: DataFrame, key: str, position: str, center: float, sigma: float) -> DataFrame:

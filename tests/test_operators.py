@@ -429,3 +429,67 @@ def test_q_values_have_no_frame_that_ends_at_the_last_row(spark):
                 decoys += r[2]
                 rates.append(decoys / max(k + 1 - decoys, 1))
             assert all(abs(got[r[0]] - min(1.0, min(rates[k:]))) < 1e-12 for k, r in enumerate(own))
+
+
+def test_match_equals_loops_and_joins_no_pairs(spark):
+    """Copies of targets and peaks, ties on both sides, both units, open tops: one best peak each, by plain loops."""
+    import random
+
+    from peakloom.operators import joins
+
+    rng = random.Random(5)
+    targets = [(k, k % 2, rng.choice([400.0, 500.0, 500.005, 500.01, 0.001, 900.0]) + rng.randrange(4) / 256) for k in range(60)]
+    peaks = [(k, k % 2, rng.choice([400.0, 500.0, 900.0]) + rng.randrange(-8, 9) / 256, float(rng.randrange(4))) for k in range(300)]
+    t = spark.createDataFrame(targets, "pep_id long, of long, target_mz double")
+    p = spark.createDataFrame(peaks, "peak_id long, by long, mz double, intensity double")
+    rank = {
+        "nearest": lambda x, q: (abs(q[2] - x), q[0]), "leftmost": lambda x, q: (q[2], q[0]), "most_intense": lambda x, q: (-q[3], q[0]),
+        "neighbor": lambda x, q: (abs((q[2] - x) / x * 1e6), q[2], -q[0] if q[2] < x else q[0]),
+    }
+    for policy, of in rank.items():
+        for unit, tolerance, open_top, same in (("ppm", 20.0, False, None), ("ppm", 30.0, True, {"of": "by"}), ("Da", 0.015625, False, {"of": "by"}), ("Da", 1.0, True, None)):
+            got = {r["pep_id"]: r["peak_id"] for r in joins.match(t, p, tolerance, policy, ["pep_id"], open_top=open_top, unit=unit, same=same).collect()}
+            want = {}
+            for pep, group, x in targets:
+                tol = x * tolerance / 1e6 if unit == "ppm" else tolerance
+                near = [q for q in peaks if x - tol <= q[2] and (q[2] < x + tol if open_top else q[2] <= x + tol) and (same is None or q[1] == group) and (policy != "most_intense" or q[3] > 0)]
+                if near:
+                    want[pep] = min(near, key=lambda q: of(x, q))[0]
+            assert got == want, (policy, unit, open_top)
+    plan = joins.match(t, p, 20.0, "most_intense", ["pep_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "__peak_bin" not in plan  # the pairs of the band join
+
+
+def test_no_broadcast_is_chosen_by_the_size_of_files(spark):
+    from peakloom.operators import joins
+    from peakloom.plans.views import view
+    from tests.conftest import DATA
+
+    targets, peaks = view(spark, DATA, "v_targets"), view(spark, DATA, "v_peaks")
+    for out in (joins.tolerance_join(targets, peaks, 20.0), joins.match(targets, peaks, 20.0, "nearest", ["pep_id", "frag_id"])):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_consolidation_of_copies_makes_links_of_classes_only(spark, monkeypatch):
+    """Two hundred copies of one doubly and one triply charged group: one component, over one link."""
+    from peakloom.constants import PROTON
+    from peakloom.operators import features
+    from peakloom.params import Consolidation
+
+    rows = [(z * 1000 + k, 1000.0 / z + PROTON, 60.0, 2e4, z) for z in (2, 3) for k in range(200)] + [(k, 700.0, 60.0, 2e4, 2) for k in range(3)] + [(9000, 1000.0 / 2 + PROTON, 60.0, 1.0, 2)]
+    groups, made, real = spark.createDataFrame(rows, "feature_id long, mz double, rt double, intensity double, charge int"), [], features.components
+    monkeypatch.setattr(features, "components", lambda nodes, edges: made.append(edges.count()) or real(nodes, edges))
+    got = {r["component"]: r["n_groups"] for r in features.consolidate(groups, Consolidation()).collect()}
+    assert got == {2000: 400, 0: 1, 1: 1, 2: 1, 9000: 1} and made == [1]
+
+
+def test_profiles_of_ids_with_several_rows(spark):
+    from peakloom.operators import profiles
+
+    fragments = spark.createDataFrame([(1, 500.0), (1, 600.0), (2, 500.0), (3, 700.0)], "frag_id long, target_mz double")
+    spectra = spark.createDataFrame([(1, 10.0, 501.0), (2, 30.0, 501.2)], "scan_id long, rt_sec double, q1_center double")
+    peaks = spark.createDataFrame([(1, 500.0, 5.0), (1, 500.0, 6.0), (1, 600.0, 7.0)], "scan_id long, mz double, intensity double")
+    got = sorted((r["frag_id"], round(r["q1"], 2), r["intensity"]) for r in profiles.q1_profile(fragments, spectra, peaks, 501.0, 0.8, 10.0, 5.0).collect())
+    assert got == [(1, 501.0, 18.0)] * 2 + [(1, 501.2, 0.0)] * 2 + [(2, 501.0, 11.0), (2, 501.2, 0.0), (3, 501.0, 0.0), (3, 501.2, 0.0)]
+    plan = profiles.q1_profile(fragments, spectra, peaks, 501.0, 0.8, 10.0, 5.0)
+    assert sum(r["intensity"] for r in plan.collect()) == 47.0
