@@ -493,3 +493,23 @@ def test_profiles_of_ids_with_several_rows(spark):
     assert got == [(1, 501.0, 18.0)] * 2 + [(1, 501.2, 0.0)] * 2 + [(2, 501.0, 11.0), (2, 501.2, 0.0), (3, 501.0, 0.0), (3, 501.2, 0.0)]
     plan = profiles.q1_profile(fragments, spectra, peaks, 501.0, 0.8, 10.0, 5.0)
     assert sum(r["intensity"] for r in plan.collect()) == 47.0
+
+
+def test_charge_pairs_of_copies_join_one_of_each(spark, monkeypatch):
+    from peakloom.constants import PROTON
+    from peakloom.operators import features
+
+    rows = [(z * 1000 + k, 1000.0 / z + PROTON, 60.0, 2e4, z) for z in (2, 3) for k in range(100)]
+    own, made, real = spark.createDataFrame(rows, "feature_id long, mz double, rt double, intensity double, charge int"), [], features.tolerance_join
+    monkeypatch.setattr(features, "tolerance_join", lambda a, b, *r, **k: made.append((a.count(), b.count())) or real(a, b, *r, **k))
+    assert sorted((r["z2_id"], r["z3_id"]) for r in features.charge_pairs(own).collect()) == [(2000 + k, 3000) for k in range(100)]
+    assert made == [(1, 1)]
+
+
+def test_retention_ties_stay_in_one_run(spark):
+    """Equal pairs at the start of a run all belong to it, whichever of them opens it."""
+    from peakloom.operators import calibration
+
+    rows = [("a", x, 5.0) for x in (0.9, 0.91) for _ in range(200)]
+    got = calibration.merged(spark.createDataFrame(rows, "run_id string, irt double, rt_sec double")).collect()
+    assert sorted(round(r["irt"], 9) for r in got) == [0.9, 0.91]
