@@ -64,11 +64,21 @@ def coeluting(profiles: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def grouped_peaks(references: DataFrame, peaks: DataFrame, ppm: float = 10.0, scan_window: int = 5, least: float = 0.8) -> DataFrame:
-    """(ref_id, peak_id): peaks in the scan window within 11 ppm of a co-eluting centre."""
-    chosen = coeluting(rt_profiles(references, peaks, ppm, scan_window), least).where("together").select("ref_id", "center")
-    chosen = chosen.join(references, "ref_id")
+    """(ref_id, peak_id): peaks in the scan window within 11 ppm of a co-eluting centre.
+
+    References of one m/z and scan have the same peaks, which are found once; the pairs are laid beside the references last,
+    unsorted and not exchanged.  Only an id that several m/z or scans have needs its pairs compared."""
+    shared_checkpoints(peaks.sparkSession)
+    alike = ["ref_mz", "ref_scan"]
+    few = references.select(*alike).distinct().withColumn("ref_id", F.monotonically_increasing_id()).checkpoint()  # so numbers stay
+    chosen = coeluting(rt_profiles(few, peaks, ppm, scan_window), least).where("together").select("ref_id", "center")
+    chosen = chosen.join(few, "ref_id")
     where = F.abs(F.col("scan") - F.col("ref_scan")) <= scan_window
-    return tolerance_join(chosen, peaks.select("peak_id", "scan", "mz"), SAME_PPM, "center", "mz", where).select("ref_id", "peak_id").distinct()
+    found = tolerance_join(chosen, peaks.select("peak_id", "scan", "mz"), SAME_PPM, "center", "mz", where).select(F.col("ref_id").alias("__of"), "peak_id").distinct()
+    own = references.join(few.withColumnRenamed("ref_id", "__of").hint("merge"), alike).groupBy("ref_id").agg(F.collect_set("__of").alias("__all"))
+    out = own.where(F.size("__all") == 1).select("ref_id", F.element_at("__all", 1).alias("__of")).join(found.hint("merge"), "__of").select("ref_id", "peak_id")
+    more = own.where(F.size("__all") > 1).select("ref_id", F.explode("__all").alias("__of")).join(found.hint("merge"), "__of").select("ref_id", "peak_id").distinct()
+    return out.unionByName(more)
 
 
 def _merge(ppm: float):

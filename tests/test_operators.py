@@ -513,3 +513,13 @@ def test_retention_ties_stay_in_one_run(spark):
     rows = [("a", x, 5.0) for x in (0.9, 0.91) for _ in range(200)]
     got = calibration.merged(spark.createDataFrame(rows, "run_id string, irt double, rt_sec double")).collect()
     assert sorted(round(r["irt"], 9) for r in got) == [0.9, 0.91]
+
+
+def test_references_alike_are_grouped_once(spark, monkeypatch):
+    """Copies of a reference have the pairs of the first; an id with two m/z has those of both."""
+    peaks = spark.createDataFrame([(k, s, m, i) for k, (s, m, i) in enumerate([(0, 500.0, 100.0), (1, 500.001, 110.0), (0, 500.01, 90.0), (1, 500.01, 95.0), (0, 600.0, 50.0)])], "peak_id long, scan int, mz double, intensity double")
+    refs = spark.createDataFrame([(k, 500.0, 0) for k in range(100)] + [(7, 600.0, 0), (7, 500.0, 0), (200, 700.0, 0), (201, None, 0)], "ref_id long, ref_mz double, ref_scan int")
+    made, real = [], grouping.rt_profiles
+    monkeypatch.setattr(grouping, "rt_profiles", lambda few, *r: made.append(few.where("ref_mz IS NOT NULL").count()) or real(few, *r))
+    got = sorted((r.ref_id, r.peak_id) for r in grouping.grouped_peaks(refs, peaks, 20.0, 1).collect())
+    assert got == sorted([(k, p) for k in range(100) for p in range(4)] + [(7, 4)]) and made == [3]
