@@ -18,17 +18,24 @@ from .windows import quantiles, runs
 MOST_CENTERS = 10_000
 
 
-def xic(targets: DataFrame, peaks: DataFrame, ppm: float = 10.0) -> DataFrame:
+def xic(targets: DataFrame, peaks: DataFrame, ppm: float = 10.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """(pep_id, frag_id, target_mz, scan, intensity, mass_sum, n): a sparse chromatogram; absent scans are zero.
 
-    targets: pep_id, frag_id, target_mz; peaks: scan, mz, intensity.  Peaks of one m/z and scan are added up first, and
+    targets: pep_id, frag_id, target_mz and the columns to ``carry``, the same in all rows of a fragment; peaks: scan, mz, intensity.  Peaks of one m/z and scan are added up first, and
     targets of one m/z share a chromatogram, so pairs grow with distinct m/z; only the result has a row for each target."""
     added = peaks.groupBy("mz", "scan").agg(F.sum("intensity").alias("intensity"), F.sum(F.col("mz") * F.col("intensity")).alias("mass_sum"), F.count(F.lit(1)).alias("n"))
     pairs = tolerance_join(targets.select("target_mz").distinct(), added, ppm)
     found = pairs.groupBy(F.col("target_mz").alias("__target"), "scan").agg(F.sum("intensity").alias("intensity"), F.sum("mass_sum").alias("mass_sum"), F.sum("n").alias("n"))
-    many = targets.groupBy("pep_id", "frag_id", "target_mz").agg(F.count(F.lit(1)).alias("__times"))
+    many = targets.groupBy("pep_id", "frag_id", "target_mz", *carry).agg(F.count(F.lit(1)).alias("__times"))
     out = many.join(found.hint("merge"), F.col("target_mz") == F.col("__target"))
-    return out.select("pep_id", "frag_id", "target_mz", "scan", *[(F.col(c) * F.col("__times")).alias(c) for c in ("intensity", "mass_sum", "n")])
+    return out.select("pep_id", "frag_id", "target_mz", "scan", *[(F.col(c) * F.col("__times")).alias(c) for c in ("intensity", "mass_sum", "n")], *carry)
+
+
+def alike_fragments(targets: DataFrame) -> DataFrame:
+    """(pep_id, frag_id, target_mz, weight): one of each peptide's fragments that have the same m/z, and how many those are."""
+    own = targets.groupBy("pep_id", "frag_id").agg(F.sort_array(F.collect_list("target_mz")).alias("__mz"))
+    few = own.groupBy("pep_id", "__mz").agg(F.min("frag_id").alias("frag_id"), F.count(F.lit(1)).alias("weight"))
+    return few.select("pep_id", "frag_id", F.explode("__mz").alias("target_mz"), "weight")
 
 
 def _grid(fragments: DataFrame, peaks: DataFrame, name: str, places: Column, ppm: float) -> DataFrame:
@@ -61,26 +68,53 @@ def mass_errors(chromatograms: DataFrame) -> DataFrame:
     return facts.withColumn("consistency", F.exp(-F.col("std_ppm") / 5))
 
 
+def _facts(chromatograms: DataFrame, n_scans: int, least: float, more: tuple[Column, ...] = ()) -> DataFrame:
+    """A row for each fragment of some signal: pep_id, weight, top (of its peptide's sum), r (null: none counts) and ``more``.
+
+    The chromatograms are read once: a scan's sum stands beside its rows, and the sum's own moments are added up from them."""
+    own = chromatograms if "weight" in chromatograms.columns else chromatograms.withColumn("weight", F.lit(1))
+    own = own.where("pep_id IS NOT NULL").withColumn("__all", F.sum(F.col("intensity") * F.col("weight")).over(W.partitionBy("pep_id", "scan")))
+    x, y, w, n = F.col("intensity"), F.col("__all"), F.col("weight"), F.lit(float(n_scans))
+    seen = lambda c: F.when(F.col("scan").isNotNull(), c)
+    frag = own.groupBy("pep_id", "frag_id", "weight").agg(
+        F.sum(seen(x)).alias("sx"), F.sum(seen(x * x)).alias("sxx"), F.sum(seen(x * y)).alias("sxy"), F.max(seen(x)).alias("most"), F.count("scan").alias("n"),
+        F.sum(x * w).alias("y"), F.sum(x * w * y).alias("yy"), F.max(y).alias("top"), *more,
+    )
+    of_peptide = W.partitionBy("pep_id")
+    frag = frag.withColumns({"sy": F.sum("y").over(of_peptide), "syy": F.sum("yy").over(of_peptide), "top": F.max("top").over(of_peptide)})
+    r = pearson(n, F.col("sx"), F.col("sy"), F.col("sxx"), F.col("syy"), F.col("sxy"))
+    return frag.withColumn("r", F.when((F.col("n") > 0) & (F.col("most") >= least * 0.1) & (r > 0), r))
+
+
+def _mean(value: Column) -> Column:
+    """The mean of ``value`` over rows of some weight, nulls left out."""
+    return F.sum(value * F.col("weight")) / F.sum(F.when(value.isNotNull(), F.col("weight")))
+
+
+def _score(least: float) -> Column:
+    enough = (F.sum(F.when(F.col("r").isNotNull(), F.col("weight"))) >= 3) & (F.max("top") >= least)
+    return F.when(enough, _mean(F.col("r"))).otherwise(0.0)
+
+
 def xic_scores(chromatograms: DataFrame, n_scans: int, least: float = 100.0) -> DataFrame:
     """(pep_id, xic_score): mean positive Pearson of fragments with the summed chromatogram over all ``n_scans`` scans.
 
     Zeros are counted in closed form, so nothing is densified.  0 unless the sum's maximum reaches ``least`` and three
-    fragments (of maximum ``least`` / 10 or more) correlate."""
-    total = chromatograms.groupBy("pep_id", "scan").agg(F.sum("intensity").alias("all"))
-    whole = total.groupBy("pep_id").agg(F.sum("all").alias("sy"), F.sum(F.col("all") * F.col("all")).alias("syy"), F.max("all").alias("top"))
-    both = chromatograms.join(total, ["pep_id", "scan"])
-    x, y, n = F.col("intensity"), F.col("all"), F.lit(float(n_scans))
-    frag = both.groupBy("pep_id", "frag_id").agg(F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"), F.max(x).alias("most"))
-    r = pearson(n, F.col("sx"), F.col("sy"), F.col("sxx"), F.col("syy"), F.col("sxy"))
-    scored = frag.join(whole, "pep_id").withColumn("r", F.when((F.col("most") >= least * 0.1) & (r > 0), r))
-    enough = (F.count("r") >= 3) & (F.max("top") >= least)
-    return scored.groupBy("pep_id").agg(F.when(enough, F.avg("r")).otherwise(0.0).alias("xic_score"))
+    fragments (of maximum ``least`` / 10 or more) correlate.  A column ``weight`` tells how many fragments a row stands for."""
+    return _facts(chromatograms, n_scans, least).groupBy("pep_id").agg(_score(least).alias("xic_score"), F.max("n").alias("__n")).where("__n > 0").drop("__n")
 
 
-def combined_scores(chromatograms: DataFrame, n_scans: int) -> DataFrame:
+def combined_scores(chromatograms: DataFrame, n_scans: int, least: float = 100.0) -> DataFrame:
     """(pep_id, xic_score, mass_score, score): 0.7 of the correlation and 0.3 of mass closeness; all 0 without correlation."""
-    errors = mass_errors(chromatograms).groupBy("pep_id").agg(F.avg(F.when(F.col("mean_ppm") != 0, F.abs("mean_ppm"))).alias("a"), F.avg(F.when(F.col("mean_ppm") != 0, F.col("std_ppm"))).alias("s"), F.avg("consistency").alias("c"))
-    both = xic_scores(chromatograms, n_scans).join(errors, "pep_id", "left")
+    i = F.when(F.col("intensity") > 0, F.col("intensity"))
+    e = (F.col("mass_sum") / i - F.col("target_mz")) / F.col("target_mz") * 1e6
+    frag = _facts(chromatograms, n_scans, least, (F.sum(i).alias("si"), F.sum(i * e).alias("sie"), F.sum(i * e * e).alias("siee")))
+    mean = F.col("sie") / F.col("si")
+    frag = frag.withColumn("mean_ppm", mean).withColumn("std_ppm", F.sqrt(F.greatest(F.col("siee") / F.col("si") - mean * mean, F.when(F.col("si").isNotNull(), 0.0))))
+    off = F.col("mean_ppm") != 0
+    both = frag.groupBy("pep_id").agg(
+        _score(least).alias("xic_score"), _mean(F.when(off, F.abs("mean_ppm"))).alias("a"), _mean(F.when(off, F.col("std_ppm"))).alias("s"), _mean(F.exp(-F.col("std_ppm") / 5)).alias("c"), F.max("n").alias("__n"),
+    ).where("__n > 0")
     close = F.when(F.col("a").isNull(), 0.0).otherwise(0.4 * F.exp(-F.col("a") / 5) + 0.3 * F.exp(-F.col("s") / 3) + 0.3 * F.col("c"))
     both = both.withColumn("mass_score", F.when(F.col("xic_score") == 0, 0.0).otherwise(close))
     return both.select("pep_id", "xic_score", "mass_score", F.when(F.col("xic_score") == 0, 0.0).otherwise(0.7 * F.col("xic_score") + 0.3 * F.col("mass_score")).alias("score"))

@@ -131,7 +131,7 @@ def _r(n, sx, sy, sxx, syy, sxy) -> str:
   b AS (SELECT pep_id, xic_score, CASE WHEN xic_score = 0 OR a IS NULL THEN 0 ELSE 0.4 * exp(-a / 5) + 0.3 * exp(-s / 3) + 0.3 * c END AS mass_score FROM a LEFT JOIN m USING (pep_id))
   :: SELECT *, CASE WHEN xic_score = 0 THEN 0 ELSE 0.7 * xic_score + 0.3 * mass_score END AS score FROM b""", "xic_score mass_score score", 4)
 def _(v, spark):
-    return profiles.combined_scores(profiles.xic(v("v_targets"), v("v_hits"), 50.0), 100)
+    return profiles.combined_scores(profiles.xic(profiles.alike_fragments(v("v_targets")), v("v_hits"), 50.0, carry=("weight",)), 100)
 
 
 _SPECTRA = "sp AS (SELECT DISTINCT scan AS scan_id, CAST(scan AS DOUBLE) * 10 AS rt_sec, 500.0 + CAST(scan % 20 AS DOUBLE) * 0.105 AS q1_center FROM v_peaks), pk AS (SELECT scan AS scan_id, mz, intensity FROM v_peaks), fr AS (SELECT frag_id * 400 + pep_id AS frag_id, target_mz FROM v_targets)"

@@ -523,3 +523,17 @@ def test_references_alike_are_grouped_once(spark, monkeypatch):
     monkeypatch.setattr(grouping, "rt_profiles", lambda few, *r: made.append(few.where("ref_mz IS NOT NULL").count()) or real(few, *r))
     got = sorted((r.ref_id, r.peak_id) for r in grouping.grouped_peaks(refs, peaks, 20.0, 1).collect())
     assert got == sorted([(k, p) for k in range(100) for p in range(4)] + [(7, 4)]) and made == [3]
+
+
+def test_fragments_alike_are_scored_once(spark):
+    """Fragments of one peptide and m/z stand for one another; repeats of a row and ids of two m/z keep their own sums."""
+    targets = [(1, k, 400.0 + k % 3) for k in range(60)] + [(1, 70, 400.0), (1, 70, 401.0), (1, 71, 402.0), (1, 71, 402.0), (2, 0, 400.0), (2, 1, 401.0), (2, 2, 402.0), (3, 5, 900.0), (None, 1, 400.0)]
+    own = spark.createDataFrame(targets, "pep_id long, frag_id long, target_mz double")
+    peaks = spark.createDataFrame([(s, (400.0 + k) * (1 + (s - 2) * 1e-6), 100.0 * (k + 1) * (1 + s) + 37.0 * ((s * 5 + k * 3) % 4)) for s in range(5) for k in range(3)] + [(None, 400.0, 55.0)], "scan int, mz double, intensity double")
+    few = profiles.alike_fragments(own)
+    assert sorted((r.pep_id or 0, r.target_mz, r.weight) for r in few.collect()) == [(0, 400.0, 1), (1, 400.0, 1), (1, 400.0, 20), (1, 401.0, 1), (1, 401.0, 20), (1, 402.0, 1), (1, 402.0, 1), (1, 402.0, 20), (2, 400.0, 1), (2, 401.0, 1), (2, 402.0, 1), (3, 900.0, 1)]
+    got = rows(profiles.combined_scores(profiles.xic(few, peaks, 20.0, carry=("weight",)), 10), "pep_id")
+    want = rows(profiles.combined_scores(profiles.xic(own, peaks, 20.0), 10), "pep_id")
+    assert len(got) == 2 and all(a == pytest.approx(b, rel=1e-9) for a, b in zip(got, want)) and got[0][1] > 0 and got[0][2] > 0
+    whole = profiles.mass_errors(profiles.xic(own, peaks, 20.0)).where("pep_id = 2").toPandas()
+    assert got[1][2] == pytest.approx(0.4 * math.exp(-whole.mean_ppm.abs().mean() / 5) + 0.3 * math.exp(-whole.std_ppm.mean() / 3) + 0.3 * whole.consistency.mean(), rel=1e-6)
