@@ -83,19 +83,20 @@ def grouped_peaks(references: DataFrame, peaks: DataFrame, ppm: float = 10.0, sc
 
 def _merge(ppm: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["mz", "intensity"], kind="stable")
-        out, mean, total, n = [], 0.0, 0.0, 0
-        for mz, intensity in zip(frame["mz"], frame["intensity"]):
-            if n and abs(mz - mean) <= mean * ppm / 1e6:
-                mean, total, n = (mean * n + mz) / (n + 1), total + intensity, n + 1
+        frame = frame.sort_values(["group_id", "run", "mz"], kind="stable")
+        other = (frame["group_id"] != frame["group_id"].shift()) & frame["group_id"].notna()  # a missing group is alone in its bucket
+        opens = other | (frame["run"] != frame["run"].shift())
+        out, mean, total, n, first, chain = [], 0.0, 0.0, 0, 0, None
+        for row, (at, mz, intensity, k) in enumerate(zip(opens.cumsum(), *(frame[c].tolist() for c in ("mz", "intensity", "n")))):
+            if n and at == chain and abs(mz - mean) <= mean * ppm / 1e6:
+                mean, total, n = (mean * n + mz * k) / (n + k), total + intensity, n + k
             else:
                 if n:
-                    out.append((mean, total, n))
-                mean, total, n = mz, intensity, 1
-        out.append((mean, total, n))
-        made = pd.DataFrame(out, columns=["mz", "intensity", "n"])
-        made.insert(0, "group_id", frame["group_id"].iloc[0])
-        return made
+                    out.append((first, mean, total, n))
+                mean, total, n, first, chain = mz, intensity, k, row, at
+        out.append((first, mean, total, n))
+        made = pd.DataFrame(out, columns=["group_id", "mz", "intensity", "n"])
+        return made.assign(group_id=frame["group_id"].to_numpy()[made["group_id"]])
 
     return run
 
@@ -103,11 +104,18 @@ def _merge(ppm: float):
 def composite(peaks: DataFrame, ppm: float = 10.0) -> DataFrame:
     """(group_id, mz, intensity, n): peaks of a group merged in m/z order while they are near the running mean.
 
-    Gaps wider than the tolerance can't be bridged, so groups are cut there first and only chains reach Python."""
-    o = W.partitionBy("group_id").orderBy("mz", "intensity")
+    Peaks of one m/z go together, so they are added up first.  Gaps wider than the tolerance can't be bridged, so groups are
+    cut there and only chains reach Python, many in one call."""
+    own = peaks.select("group_id", "mz", "intensity")
+    usual = F.coalesce((F.col("mz") >= 0) & ~F.isnan("mz"), F.lit(False))  # others are near nothing, not even their like
+    odd = own.where(~usual).select("group_id", "mz", "intensity", F.lit(1).alias("n"))
+    own = own.where(usual).groupBy("group_id", "mz").agg(F.sum("intensity").alias("intensity"), F.count(F.lit(1)).cast("int").alias("n"))
+    o = W.partitionBy("group_id").orderBy("mz")
     gap = ~F.coalesce(F.col("mz") - F.lag("mz").over(o) <= F.col("mz") * ppm / 1e6, F.lit(False))
-    own = runs(peaks.select("group_id", "mz", "intensity"), ["group_id"], [F.col("mz"), F.col("intensity")], gap)
-    own = own.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("group_id", "run")))
-    alone = own.where("n = 1").select("group_id", "mz", "intensity", F.col("n").cast("int").alias("n"))
-    chains = own.where("n > 1").groupBy("group_id", "run").applyInPandas(_merge(ppm), f"group_id {dict(peaks.dtypes)['group_id']}, mz double, intensity double, n int")
-    return alone.unionByName(chains)
+    own = runs(own, ["group_id"], [F.col("mz")], gap)
+    own = own.withColumn("__rows", F.count(F.lit(1)).over(W.partitionBy("group_id", "run")))
+    alone = own.where("__rows = 1").select("group_id", "mz", "intensity", "n")
+    parts = int(peaks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.where("__rows > 1").select("group_id", "run", "mz", "intensity", "n", F.when(F.col("group_id").isNotNull(), F.pmod(F.xxhash64("group_id", "run"), F.lit(4 * parts))).alias("__bucket"))
+    chains = dealt.repartition(parts, "__bucket").groupBy("__bucket").applyInPandas(_merge(ppm), f"group_id {dict(peaks.dtypes)['group_id']}, mz double, intensity double, n int")
+    return alone.unionByName(odd).unionByName(chains)

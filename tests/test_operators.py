@@ -537,3 +537,25 @@ def test_fragments_alike_are_scored_once(spark):
     assert len(got) == 2 and all(a == pytest.approx(b, rel=1e-9) for a, b in zip(got, want)) and got[0][1] > 0 and got[0][2] > 0
     whole = profiles.mass_errors(profiles.xic(own, peaks, 20.0)).where("pep_id = 2").toPandas()
     assert got[1][2] == pytest.approx(0.4 * math.exp(-whole.mean_ppm.abs().mean() / 5) + 0.3 * math.exp(-whole.std_ppm.mean() / 3) + 0.3 * whole.consistency.mean(), rel=1e-6)
+
+
+def test_composite_of_copies_and_many_chains(spark):
+    """Against one loop over a group's peaks in m/z order; copies, odd m/z and a missing group; many chains in one call."""
+    rng = np.random.default_rng(8)
+    peaks = [(int(g), float(500 + 0.004 * m), float(i)) for g, m, i in zip(rng.integers(0, 4, 900), rng.integers(0, 600, 900), rng.integers(1, 50, 900))] + [(None, 500.0, 1.0), (None, 500.001, 2.0), (1, None, 4.0), (1, None, 4.0), (1, -5.0, 1.0), (1, -5.0, 1.0), (1, float("nan"), 3.0)]
+    out = grouping.composite(spark.createDataFrame(peaks * 3, "group_id long, mz double, intensity double"), 10.0)
+    want = []
+    for group in {p[0] for p in peaks}:
+        mean, own = None, sorted(p[1:] for p in peaks * 3 if p[0] == group and p[1] is not None and p[1] > 0)
+        for mz, intensity in own:
+            if mean is not None and abs(mz - mean) <= mean * 10.0 / 1e6:
+                mean, total, n = (mean * n + mz) / (n + 1), total + intensity, n + 1
+                want[-1] = (group, mean, total, n)
+            else:
+                mean, total, n = mz, intensity, 1
+                want.append((group, mz, intensity, 1))
+    got = [tuple(r) for r in out.where("mz > 0 AND NOT isnan(mz)").collect()]
+    by = lambda r: (-1 if r[0] is None else r[0], r[1])
+    assert len(got) == len(want) > 100 and all((a[0], a[3]) == (b[0], b[3]) and a[1:3] == pytest.approx(b[1:3], rel=1e-12) for a, b in zip(sorted(got, key=by), sorted(want, key=by)))
+    assert sorted((r.intensity, r.n) for r in out.where("mz IS NULL OR mz < 0 OR isnan(mz)").collect()) == [(1.0, 1)] * 6 + [(3.0, 1)] * 3 + [(4.0, 1)] * 6
+    assert "FlatMapGroupsInPandas [__bucket" in out._jdf.queryExecution().analyzed().toString()
