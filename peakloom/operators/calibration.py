@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..constants import PROTON
 from ..functions.mass import correct_mz, ppm_error
 from .joins import tolerance_join
-from .windows import quantiles
+from .windows import quantiles, shared_checkpoints, weighted_quantiles
 
 
 def mad_inliers(rows: DataFrame, value: str, threshold: float = 3.0) -> DataFrame:
@@ -84,24 +84,38 @@ def presearch_errors(precursors: DataFrame, least: int = 100, ladder: tuple[floa
     """One row (median_ppm, std_ppm, recommended_tolerance, n_pairs, tolerance_used) from masses seen at unlike charges.
 
     precursors: id, mz, charge.  The widest tolerance of the ladder with ``least`` pairs is used, else the last; pairs run
-    from the lower mass (``signed``: from the lower charge) and errors are relative to the median mass."""
-    own = precursors.select("id", "charge", (F.col("mz") * F.col("charge") - F.col("charge") * PROTON).alias("mass"))
-    other = own.toDF("id2", "charge2", "mass2")
-    (median,) = quantiles(own, "mass", [0.5])
+    from the lower mass (``signed``: from the lower charge) and errors are relative to the median mass.
+
+    Precursors of one charge and mass have the same pairs, so pairs are made between such classes, each standing for the
+    product of their sizes; the errors of the tolerance used are checkpointed, as all that follows reads them."""
+    shared_checkpoints(precursors.sparkSession)
+    every = precursors.select("id", "charge", (F.col("mz") * F.col("charge") - F.col("charge") * PROTON).alias("mass"))
+    (median,) = quantiles(every, "mass", [0.5])
+    # a pair of equal masses counts from its lower id, and a missing id has none
+    own = every.where("mass IS NOT NULL AND charge IS NOT NULL").groupBy("charge", "mass").agg(F.count(F.lit(1)).alias("size"), F.count("id").alias("named")).checkpoint()
+    other = own.toDF("charge2", "mass2", "size2", "named2")
     for tolerance in ladder:
         pairs = tolerance_join(own, other, tolerance, "mass", "mass2", F.col("charge") != F.col("charge2"))
-        pairs = pairs.where((F.col("mass2") > F.col("mass")) | ((F.col("mass2") == F.col("mass")) & (F.col("id2") > F.col("id"))))
-        n = pairs.count()
+        pairs = pairs.where((F.col("mass2") > F.col("mass")) | ((F.col("mass2") == F.col("mass")) & (F.col("charge2") > F.col("charge"))))
+        weight = F.when(F.col("mass2") > F.col("mass"), F.col("size") * F.col("size2")).otherwise(F.col("named") * F.col("named2"))
+        side = F.when(F.col("charge2") > F.col("charge"), 1).otherwise(-1) if signed else F.lit(1)
+        pairs = pairs.select(((F.col("mass2") - F.col("mass")) * side / median * 1e6).alias("e"), weight.alias("w")).where("w > 0").checkpoint()
+        n = pairs.agg(F.coalesce(F.sum("w"), F.lit(0))).head()[0]
         if n >= least:
             break
     if not n:
         return precursors.sparkSession.createDataFrame([(0.0, 10.0, 20.0, 0, ladder[0])], "median_ppm double, std_ppm double, recommended_tolerance double, n_pairs long, tolerance_used double")
-    side = F.when(F.col("charge2") > F.col("charge"), 1).otherwise(-1) if signed else F.lit(1)
-    errors = pairs.select(((F.col("mass2") - F.col("mass")) * side / median * 1e6).alias("e"))
-    inliers = mad_inliers(errors, "e")
-    errors = inliers if inliers.count() > 10 else errors
-    (center,), (wide,) = quantiles(errors, "e", [0.5]), quantiles(errors, F.abs("e"), [0.95])
-    return errors.agg(F.lit(center).alias("median_ppm"), F.stddev_pop("e").alias("std_ppm"), F.lit(max(10.0, wide + 5)).alias("recommended_tolerance"), F.lit(n).cast("long").alias("n_pairs"), F.lit(tolerance).alias("tolerance_used"))
+    (center,) = weighted_quantiles(pairs, "e", "w", [0.5])
+    apart = pairs.withColumn("d", F.abs(F.col("e") - center))
+    (spread,) = weighted_quantiles(apart, "d", "w", [0.5])
+    inliers = pairs if spread < 1e-6 else apart.where(F.col("d") / (1.4826 * spread) < 3.0).drop("d")
+    kept = inliers.agg(F.coalesce(F.sum("w"), F.lit(0))).head()[0]
+    errors = (inliers if kept > 10 else pairs).withColumn("a", F.abs("e"))
+    (center,), (wide,) = weighted_quantiles(errors, "e", "w", [0.5]), weighted_quantiles(errors, "a", "w", [0.95])
+    w = F.col("w")
+    mean = errors.agg(F.sum(F.col("e") * w) / F.sum(w)).head()[0]
+    std = F.sqrt(F.sum((F.col("e") - mean) * (F.col("e") - mean) * w) / F.sum(w))
+    return errors.agg(F.lit(center).alias("median_ppm"), std.alias("std_ppm"), F.lit(max(10.0, wide + 5)).alias("recommended_tolerance"), F.lit(n).cast("long").alias("n_pairs"), F.lit(tolerance).alias("tolerance_used"))
 
 
 def recalibration_statistics(rows: DataFrame, table: DataFrame) -> DataFrame:

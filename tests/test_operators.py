@@ -559,3 +559,34 @@ def test_composite_of_copies_and_many_chains(spark):
     assert len(got) == len(want) > 100 and all((a[0], a[3]) == (b[0], b[3]) and a[1:3] == pytest.approx(b[1:3], rel=1e-12) for a, b in zip(sorted(got, key=by), sorted(want, key=by)))
     assert sorted((r.intensity, r.n) for r in out.where("mz IS NULL OR mz < 0 OR isnan(mz)").collect()) == [(1.0, 1)] * 6 + [(3.0, 1)] * 3 + [(4.0, 1)] * 6
     assert "FlatMapGroupsInPandas [__bucket" in out._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_presearch_pairs_classes_of_equal_masses(spark, monkeypatch, signed):
+    """Against all pairs by loops, with copies; only unlike precursors are joined, and quantiles hold in passes."""
+    from peakloom.constants import PROTON
+
+    rng = np.random.default_rng(9)
+    masses = [1000.0, *(1000.0 * (1 + rng.integers(-60, 61, 25) * 1e-6))]
+    few = [(float(m) / z + PROTON, z) for k, m in enumerate(masses) for z in ((2, 3) if k % 2 else (2,))] + [(500.0, 2), (900.0, 0)]
+    rows = [(k, mz, z) for k, (mz, z) in enumerate((few * 6)[: 6 * len(few)])] + [(None, few[1][0], few[1][1])]
+    own, made, real = spark.createDataFrame(rows, "id long, mz double, charge int"), [], calibration.tolerance_join
+    monkeypatch.setattr(calibration, "tolerance_join", lambda a, b, *r, **k: made.append(a.count()) or real(a, b, *r, **k))
+    got = calibration.presearch_errors(own, least=10, signed=signed).head()
+    flat = [(k, mz * z - z * PROTON, z) for k, mz, z in rows]
+    middle, errors = np.median([m for _, m, _ in flat]), []
+    for i, a, z in flat:
+        for j, b, y in flat:
+            if z != y and b <= a + a * 50.0 / 1e6 and (b > a or (b == a and None not in (i, j) and j > i)):
+                errors.append((b - a) * (-1 if signed and y < z else 1) / middle * 1e6)
+    e = np.array(errors)
+    apart = np.abs(e - np.median(e))
+    kept = e[apart / (1.4826 * np.median(apart)) < 3]
+    assert got.n_pairs == len(e) and made == [len({(mz * z - z * PROTON, z) for _, mz, z in rows})]
+    want = (np.median(kept), np.std(kept), max(10.0, np.quantile(np.abs(kept), 0.95) + 5))
+    assert tuple(got)[:3] == pytest.approx(want, abs=1e-9)
+    monkeypatch.setattr(windows, "EXACT_ROWS", 3)
+    frame = spark.createDataFrame([(float(v), int(n)) for v, n in zip(rng.integers(0, 90, 60) ** 2, rng.integers(1, 9, 60))] + [(None, 3)], "v double, w long")
+    each = np.concatenate([[r.v] * r.w for r in frame.where("v IS NOT NULL").collect()])
+    assert windows.weighted_quantiles(frame, "v", "w", [0.0, 0.3, 0.5, 0.95, 1.0]) == pytest.approx(list(np.quantile(each, [0.0, 0.3, 0.5, 0.95, 1.0])))
+    assert windows.weighted_quantiles(frame.limit(0), "v", "w", [0.5]) == [None]
