@@ -590,3 +590,18 @@ def test_presearch_pairs_classes_of_equal_masses(spark, monkeypatch, signed):
     each = np.concatenate([[r.v] * r.w for r in frame.where("v IS NOT NULL").collect()])
     assert windows.weighted_quantiles(frame, "v", "w", [0.0, 0.3, 0.5, 0.95, 1.0]) == pytest.approx(list(np.quantile(each, [0.0, 0.3, 0.5, 0.95, 1.0])))
     assert windows.weighted_quantiles(frame.limit(0), "v", "w", [0.5]) == [None]
+
+
+@pytest.mark.parametrize("anneal", [False, True])
+def test_copies_of_peaks_are_one_row_of_feature_finding(spark, monkeypatch, anneal):
+    rng = np.random.default_rng(6)
+    n = 300
+    first = pd.DataFrame({"run_id": "r", "peak_id": np.arange(n), "scan": rng.integers(0, 3, n), "mz": rng.integers(40000, 40060, n) / 100, "intensity": rng.integers(1, 40, n) * 100.0, "rt_sec": rng.integers(0, 120, n) * 1.0})
+    frame = pd.concat([first.assign(peak_id=first.peak_id + n * k) for k in range(5)], ignore_index=True)
+    params = FeatureFinding(ppm=30.0, rt_tolerance=6.0, min_intensity=500.0, min_peaks=6, core_rt=4.0)
+    made, real = [], features.islands
+    monkeypatch.setattr(features, "islands", lambda rows, *r: made.append(rows.count()) or real(rows, *r))
+    got = features.find_features(spark.createDataFrame(frame), params, anneal).toPandas().sort_values("seed_id")
+    want = features.greedy(frame, params, anneal).sort_values("seed_id")
+    assert len(want) > 20 and want.seed_id.tolist() == got.seed_id.tolist() and made == [len(first.drop_duplicates(["mz", "rt_sec", "scan"]))]
+    assert np.allclose(want.drop(columns="run_id").to_numpy(float), got.drop(columns="run_id").to_numpy(float), atol=1e-4)
