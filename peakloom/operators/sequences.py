@@ -23,6 +23,36 @@ def digest(proteins: DataFrame, missed: int = 2, shortest: int = 7, longest: int
     return starts.where((length >= shortest) & (length <= longest) & F.col("peptide").rlike(f"^[{STANDARD}]+$")).select("protein_id", "missed", "position", "peptide")
 
 
+def _of_rows(proteins: DataFrame, missed: int, shortest: int, longest: int) -> DataFrame:
+    """``proteins`` with ``__peptides``: an array for each number of missed cleavages, of what ``digest`` has in rows."""
+    pieces = F.filter(F.split("sequence", "(?<=[KR])(?!P)"), lambda x: x != "")
+    cut = proteins.withColumn("__pieces", pieces).withColumn("__n", F.size("__pieces"))
+    joined = lambda m: F.transform(F.sequence(F.lit(1), F.col("__n") - m), lambda i: F.array_join(F.slice("__pieces", i, m + 1), ""))
+    fits = lambda x: F.char_length(x).between(shortest, longest) & x.rlike(f"^[{STANDARD}]+$")
+    each = [F.when(F.col("__n") > m, F.filter(joined(m), fits)).otherwise(F.array().cast("array<string>")) for m in range(missed + 1)]
+    return cut.withColumn("__peptides", F.array(*each)).drop("__pieces", "__n")
+
+
+def _ids_repeat(proteins: DataFrame) -> bool:
+    return bool(proteins.where("protein_id IS NOT NULL").groupBy("protein_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
+
+
+def peptide_counts(proteins: DataFrame, missed: int = 2, shortest: int = 7, longest: int = 35) -> DataFrame:
+    """(missed, peptide, n, n_proteins): occurrences of each peptide, and the distinct proteins that have it.
+
+    A protein's own repeats are counted inside its row, so peptides are exchanged once; ids that several rows have (looked
+    for first, on the ids alone) are told apart by an exchange more."""
+    of_row = _of_rows(proteins.select("protein_id", "sequence"), missed, shortest, longest)
+    own = of_row.select("protein_id", F.posexplode("__peptides").alias("missed", "__all")).where(F.size("__all") > 0).withColumn("__all", F.array_sort("__all"))
+    first = F.filter(F.sequence(F.lit(0), F.size("__all") - 1), lambda i: (i == 0) | (F.get("__all", i) != F.get("__all", i - 1)))
+    own = own.withColumn("__first", first)
+    counted = F.transform("__first", lambda i, j: F.struct(F.get("__all", i).alias("peptide"), (F.coalesce(F.get("__first", j + 1), F.size("__all")) - i).cast("long").alias("n")))
+    own = own.select("protein_id", "missed", F.inline(counted))
+    if _ids_repeat(proteins):
+        own = own.groupBy("missed", "peptide", "protein_id").agg(F.sum("n").alias("n"))
+    return own.groupBy("missed", "peptide").agg(F.sum("n").alias("n"), F.count("protein_id").alias("n_proteins"))
+
+
 def peptides(digested: DataFrame) -> DataFrame:
     """(sequence, proteins array, n_occurrences): distinct peptides and the proteins that have them."""
     own = digested.groupBy(F.col("peptide").alias("sequence"), "protein_id").agg(F.count(F.lit(1)).alias("n"))
@@ -33,9 +63,15 @@ def digest_proteins(proteins: DataFrame, missed: int = 2, shortest: int = 7, lon
     """(peptides, proteins): ``peptides`` of the digest, and (protein_id, description, gene, length, n_peptides) of every
     protein; n_peptides counts distinct peptides.
 
-    ``proteins``: protein_id, sequence and maybe description; a missing description is empty, and so is its gene."""
+    ``proteins``: protein_id, sequence and maybe description; a missing description is empty, and so is its gene.  Distinct
+    peptides are counted inside a row; only where several rows have one id (looked for first, on the ids alone) are they
+    compared between rows."""
     found = digest(proteins, missed, shortest, longest)
     text = F.coalesce("description", F.lit("")) if "description" in proteins.columns else F.lit("")
+    if not _ids_repeat(proteins):
+        n = F.when(F.col("protein_id").isNull(), 0).otherwise(F.coalesce(F.size(F.array_distinct(F.flatten("__peptides"))), F.lit(0)))
+        own = _of_rows(proteins, missed, shortest, longest)
+        return peptides(found), own.select("protein_id", text.alias("description"), gene_name(text).alias("gene"), F.char_length("sequence").alias("length"), n.cast("long").alias("n_peptides"))
     n = found.select("protein_id", "peptide").distinct().groupBy("protein_id").agg(F.count(F.lit(1)).alias("n_peptides"))
     facts = proteins.select("protein_id", text.alias("description"), gene_name(text).alias("gene"), F.char_length("sequence").alias("length"))
     return peptides(found), facts.join(n, "protein_id", "left").fillna(0, ["n_peptides"])

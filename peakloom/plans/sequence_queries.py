@@ -59,7 +59,8 @@ def _(v, spark):
 @R.add("digest_proteins", digest_sql("v_proteins", 2) + ", g AS (SELECT doc_id AS protein_id, 'tryptic GN=' || coalesce(source, 'none') || ' ' || coalesce(lang, '') AS description FROM documents), c AS (SELECT protein_id, count(DISTINCT peptide) AS n FROM peps GROUP BY protein_id):: SELECT protein_id, regexp_extract(description, 'GN=([^ ]*)', 1) AS gene, CAST(length(sequence) AS INTEGER) AS length, coalesce(n, 0) AS n_peptides FROM v_proteins JOIN g USING (protein_id) LEFT JOIN c USING (protein_id)")
 def _(v, spark):
     named = v("documents").select(F.col("doc_id").alias("protein_id"), F.concat(F.lit("tryptic GN="), F.coalesce("source", F.lit("none")), F.lit(" "), F.coalesce("lang", F.lit(""))).alias("description"))
-    return sequences.digest_proteins(v("v_proteins").join(named, "protein_id"))[1].drop("description")
+    facts = sequences.digest_proteins(v("v_proteins"))[1].select("protein_id", "length", "n_peptides")  # texts aren't exchanged
+    return facts.join(named, "protein_id").select("protein_id", sequences.gene_name(F.col("description")).alias("gene"), "length", "n_peptides")
 
 
 @R.add("sql_functions", f":: SELECT peak_id, (mz - 1000.0) / 1000.0 * 1e6 AS ppm, (mz * 2 - 2 * CAST({PROTON} AS DOUBLE)) AS mass, (mz + 3 * CAST({PROTON} AS DOUBLE)) / 3 AS mz3, CAST(floor(ln(mz) / ln(1 + 20.0 / 1e6)) AS BIGINT) AS bin, mz / (1 + 3.5 / 1e6) AS corrected FROM v_peaks", "ppm mass mz3 corrected", 5)

@@ -605,3 +605,14 @@ def test_copies_of_peaks_are_one_row_of_feature_finding(spark, monkeypatch, anne
     want = features.greedy(frame, params, anneal).sort_values("seed_id")
     assert len(want) > 20 and want.seed_id.tolist() == got.seed_id.tolist() and made == [len(first.drop_duplicates(["mz", "rt_sec", "scan"]))]
     assert np.allclose(want.drop(columns="run_id").to_numpy(float), got.drop(columns="run_id").to_numpy(float), atol=1e-4)
+
+
+def test_proteins_count_their_peptides_without_an_exchange(spark):
+    text = ["PEPTIDEKPEPTIDEKAAAAAAARPEPTIDEK", "PEPTIDEK" * 3, "KKRRPAAAAAAAK", "", None]
+    for rows_ in (list(enumerate(text)) + [(None, text[0])], [(k % 3, s) for k, s in enumerate(text * 2)]):
+        own = spark.createDataFrame(rows_, "protein_id long, sequence string")
+        out = sequences.digest_proteins(own)[1]
+        found = {(r.protein_id, r.peptide) for r in sequences.digest(own).collect()}
+        want = [(i or 0, s is not None and len(s), sum(p == i for p, _ in found) if i is not None else 0) for i, s in rows_]
+        assert sorted((r.protein_id or 0, r.length is not None and r.length, r.n_peptides) for r in out.collect()) == sorted(want)
+        assert ("Exchange" in out._jdf.queryExecution().executedPlan().toString()) == (len(rows_) > len(text) + 1)
