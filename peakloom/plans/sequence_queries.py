@@ -28,8 +28,7 @@ def digest_sql(source: str, missed: int) -> str:
 
 @R.add("digest_peptides", digest_sql("v_proteins", 2) + ":: SELECT CAST(missed AS INTEGER) AS missed, peptide, count(*) AS n, count(DISTINCT protein_id) AS n_proteins FROM peps GROUP BY ALL")
 def _(v, spark):
-    own = sequences.digest(v("v_proteins"), 2).groupBy("missed", "peptide", "protein_id").agg(F.count(F.lit(1)).alias("k"))
-    return own.groupBy("missed", "peptide").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_proteins"))
+    return sequences.peptide_counts(v("v_proteins"), 2)
 
 
 @R.add("peptide_masses", digest_sql("v_proteins", 0) + f", d AS (SELECT DISTINCT peptide AS sequence FROM peps), e AS (SELECT sequence, replace(sequence, 'I', 'L') AS sequence_il, CAST(length(sequence) AS INTEGER) AS length, {mass_sql('sequence')} AS neutral_mass FROM d):: SELECT *, (neutral_mass + 2 * CAST({PROTON} AS DOUBLE)) / 2 AS mz2, (neutral_mass + 3 * CAST({PROTON} AS DOUBLE)) / 3 AS mz3 FROM e", "neutral_mass mz2 mz3")
