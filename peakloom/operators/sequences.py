@@ -37,22 +37,6 @@ def _ids_repeat(proteins: DataFrame) -> bool:
     return bool(proteins.where("protein_id IS NOT NULL").groupBy("protein_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
 
 
-def peptide_counts(proteins: DataFrame, missed: int = 2, shortest: int = 7, longest: int = 35) -> DataFrame:
-    """(missed, peptide, n, n_proteins): occurrences of each peptide, and the distinct proteins that have it.
-
-    A protein's own repeats are counted inside its row, so peptides are exchanged once; ids that several rows have (looked
-    for first, on the ids alone) are told apart by an exchange more."""
-    of_row = _of_rows(proteins.select("protein_id", "sequence"), missed, shortest, longest)
-    own = of_row.select("protein_id", F.posexplode("__peptides").alias("missed", "__all")).where(F.size("__all") > 0).withColumn("__all", F.array_sort("__all"))
-    first = F.filter(F.sequence(F.lit(0), F.size("__all") - 1), lambda i: (i == 0) | (F.get("__all", i) != F.get("__all", i - 1)))
-    own = own.withColumn("__first", first)
-    counted = F.transform("__first", lambda i, j: F.struct(F.get("__all", i).alias("peptide"), (F.coalesce(F.get("__first", j + 1), F.size("__all")) - i).cast("long").alias("n")))
-    own = own.select("protein_id", "missed", F.inline(counted))
-    if _ids_repeat(proteins):
-        own = own.groupBy("missed", "peptide", "protein_id").agg(F.sum("n").alias("n"))
-    return own.groupBy("missed", "peptide").agg(F.sum("n").alias("n"), F.count("protein_id").alias("n_proteins"))
-
-
 def peptides(digested: DataFrame) -> DataFrame:
     """(sequence, proteins array, n_occurrences): distinct peptides and the proteins that have them."""
     own = digested.groupBy(F.col("peptide").alias("sequence"), "protein_id").agg(F.count(F.lit(1)).alias("n"))
