@@ -90,10 +90,11 @@ def window_totals(targets: DataFrame, peaks: DataFrame, ppm: float, totals: list
     return targets.join(found, F.col(target_mz).cast("double") == t).drop("__target")
 
 
-def _collapsed(peaks: DataFrame, by: list[str], order: Column, least: bool = True) -> DataFrame:
-    """One peak, its columns in the struct ``p``, for each value of ``by``: the first (or last) in ``order``."""
-    pick = F.min_by if least else F.max_by
-    return peaks.groupBy(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(by)]).agg(pick(F.struct(*peaks.columns), order).alias("p"))
+def _collapsed(peaks: DataFrame, by: list[str], order: Column, last: bool = False) -> DataFrame:
+    """One peak, its columns in the struct ``p``, for each value of ``by``: the first in ``order``; ``last``: in ``q`` the last too."""
+    facts = F.struct(*peaks.columns)
+    picked = [F.min_by(facts, order).alias("p"), *([F.max_by(facts, order).alias("q")] if last else [])]
+    return peaks.groupBy(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(by)]).agg(*picked)
 
 
 def _scanned(places: DataFrame, peaks: DataFrame, tolerance: float, policy: str, t: Column, mz: str, peak_id: str, intensity: str, open_top: bool, unit: str, same: dict[str, str]) -> DataFrame:
@@ -111,14 +112,12 @@ def _scanned(places: DataFrame, peaks: DataFrame, tolerance: float, policy: str,
     names, m, i = list(same.values()), F.col(mz), F.col(peak_id)
     order = F.struct((-F.col(intensity)).alias("o"), i.alias("i")) if policy == "most_intense" else F.struct(i.alias("i"))
     own = peaks.where((m > 0) & (m < float("inf")) & (F.col(intensity) > 0 if policy == "most_intense" else F.lit(True)))
-    top = _collapsed(own, [mz, *names], order)
-    if policy == "neighbor":  # of equal m/z below the target the highest id
-        top = top.withColumnRenamed("p", "q").join(_collapsed(own, [mz, *names], order, False), top.columns[:-1])
-    else:
-        top = top.withColumn("q", F.col("p"))
+    own = own.dropna(subset=names) if names else own
+    carried = ["p", "q"] if policy == "neighbor" else ["p"]  # of equal m/z below the target the highest id
+    top, below = _collapsed(own, [mz, *names], order, policy == "neighbor"), carried[-1]
     keys = ["__bin", *(f"__s{k}" for k in range(len(names)))]
     rank = F.struct((-F.col(f"p.`{intensity}`")).alias("o"), F.col(f"p.`{peak_id}`").alias("i")) if policy == "most_intense" else F.lit(0)
-    top = top.select(bin_of(F.col("__g0")).alias("__bin"), *[F.col(f"__g{k + 1}").alias(f"__s{k}") for k in range(len(names))], F.col("__g0").alias("__at"), F.lit(1).alias("__kind"), "p", "q", rank.alias("__rank"), F.lit(None).cast("struct<x:int>").alias("__place"))
+    top = top.select(bin_of(F.col("__g0")).alias("__bin"), *[F.col(f"__g{k + 1}").alias(f"__s{k}") for k in range(len(names))], F.col("__g0").alias("__at"), F.lit(1).alias("__kind"), *carried, rank.alias("__rank"), F.lit(None).cast("struct<x:int>").alias("__place"))
     facts = F.struct(*places.columns)
     first, last = bin_of(low), bin_of(high)
     dealt = places.where((t > 0) & (t < float("inf"))).select(F.explode(F.sequence(first, last)).alias("__bin"), *[F.col(c).alias(f"__s{k}") for k, c in enumerate(same)], facts.alias("__place"), low.alias("__low"), high.alias("__high"), t.alias("__t"), first.alias("__first"), last.alias("__last"))
@@ -130,8 +129,8 @@ def _scanned(places: DataFrame, peaks: DataFrame, tolerance: float, policy: str,
     else:
         dealt = up_to(F.col("__low") if policy == "leftmost" else F.col("__t"), 0)
     nothing = dict(top.dtypes)
-    dealt = dealt.select(*keys, "__at", "__kind", *[F.lit(None).cast(nothing[c]).alias(c) for c in ("p", "q", "__rank")], "__place", "__low", "__high", "__first")
-    top = top.select(*keys, "__at", "__kind", "p", "q", "__rank", F.lit(None).cast(dict(dealt.dtypes)["__place"]).alias("__place"), *[F.lit(None).cast(dict(dealt.dtypes)[c]).alias(c) for c in ("__low", "__high", "__first")])
+    dealt = dealt.select(*keys, "__at", "__kind", *[F.lit(None).cast(nothing[c]).alias(c) for c in (*carried, "__rank")], "__place", "__low", "__high", "__first")
+    top = top.select(*keys, "__at", "__kind", *carried, "__rank", F.lit(None).cast(dict(dealt.dtypes)["__place"]).alias("__place"), *[F.lit(None).cast(dict(dealt.dtypes)[c]).alias(c) for c in ("__low", "__high", "__first")])
     both = top.unionByName(dealt)
     rising = W.partitionBy(*keys).orderBy(F.col("__at"), F.col("__kind")).rowsBetween(W.unboundedPreceding, 0)
     falling = W.partitionBy(*keys).orderBy(F.col("__at").desc(), F.col("__kind").desc()).rowsBetween(W.unboundedPreceding, 0)
@@ -139,9 +138,9 @@ def _scanned(places: DataFrame, peaks: DataFrame, tolerance: float, policy: str,
         both = both.withColumns({"__a": F.min_by("p", "__rank").over(rising), "__b": F.min_by("p", "__rank").over(falling)})
         found = F.when(F.col("__bin") == F.col("__first"), F.array("__b")).otherwise(F.array("__a"))
     elif policy == "leftmost":
-        both, found = both.withColumn("__b", F.last("q", True).over(falling)), F.array("__b")
+        both, found = both.withColumn("__b", F.last("p", True).over(falling)), F.array("__b")
     else:
-        both = both.withColumns({"__a": F.last("p", True).over(rising), "__b": F.last("q", True).over(falling)})
+        both = both.withColumns({"__a": F.last(below, True).over(rising), "__b": F.last("p", True).over(falling)})
         found = F.array("__a", "__b")
     out = both.where("__place IS NOT NULL").select("__place", "__low", "__high", F.explode(found).alias("p"))
     at = F.col(f"p.`{mz}`")

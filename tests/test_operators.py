@@ -460,6 +460,25 @@ def test_match_equals_loops_and_joins_no_pairs(spark):
     assert "__peak_bin" not in plan  # the pairs of the band join
 
 
+def test_neighbor_reads_peaks_once_and_others_carry_one_peak(spark):
+    import re
+
+    from peakloom.operators import joins
+    from peakloom.plans.views import view
+    from tests.conftest import DATA
+
+    targets, peaks = view(spark, DATA, "v_targets"), view(spark, DATA, "v_peaks")
+    for policy in joins.SCANNED:
+        plan = joins.match(targets, peaks, 20.0, policy, ["pep_id", "frag_id"])._jdf.queryExecution().optimizedPlan()
+        assert len(re.findall(r"Relation \[o_orderkey", plan.toString())) == 1, policy
+        assert (policy == "neighbor") == bool(re.search(r"AS q#", plan.toString())), policy
+
+    of_none = spark.createDataFrame([(1, None, 500.0), (2, 3, 500.0)], "pep_id long, of long, target_mz double")
+    by_none = spark.createDataFrame([(1, None, 500.0, 9.0), (2, 3, 500.0, 5.0)], "peak_id long, by long, mz double, intensity double")
+    for policy in joins.SCANNED:  # null equals nothing
+        assert [(r.pep_id, r.peak_id) for r in joins.match(of_none, by_none, 20.0, policy, ["pep_id"], same={"of": "by"}).collect()] == [(2, 2)], policy
+
+
 def test_no_broadcast_is_chosen_by_the_size_of_files(spark):
     from peakloom.operators import joins
     from peakloom.plans.views import view
